@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lakesift.llm import decontamination, line_dedup, quality_rules
+from lakesift.llm import decontamination, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op8_quality_rules": quality_rules.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
