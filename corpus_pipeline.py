@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import decontamination, line_dedup, quality_rules
+from lakesift.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules
 from lakesift.llm.common import cut
 
 
@@ -17,18 +17,32 @@ def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: failing lines go, and documents that lose too much."""
     return _documents(quality_rules.clean_lines(docs), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: lines go that are on too many of their source's documents."""
     return _documents(line_dedup.drop_lines(docs), docs)
 
 
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near duplicates the document of least id stays."""
+    return _documents(ngram_join.drop_copies(docs), docs)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: benchmark passages are cut out; documents that consist of them go."""
     return _documents(decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("benchmark decontamination", leaks)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents in training order, with n_tokens, epoch and position. Each is there once at least."""
+    return mixing.mix(docs).select(*docs.columns, "n_tokens", "epoch", F.round("position", 9).alias("position"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", copies), ("benchmark decontamination", leaks), ("mixing to target weights", mixed)]
+#: Connected components of the Jaccard join, and texts with passages cut out, are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
