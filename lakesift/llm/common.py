@@ -110,10 +110,15 @@ def token_spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def token_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, firsts) of lowered texts."""
     raw, starts, ends, firsts = token_spans(text)
+    return span_hashes(raw, [(starts, ends)])[0], firsts
+
+
+def span_hashes(raw: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Hashes of the bytes at [starts, ends), for each pair of arrays."""
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), firsts
+    return [mix((total[ends] - total[starts]) * down[starts]) for starts, ends in spans]
 
 
 def gram_hashes(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
