@@ -5,11 +5,11 @@ therefore the n-grams themselves, as sets of one. A document's home is the regio
 next ones: |x| - ceil(t |x|) + k grams in all, because two sets within the radius have their first k common grams (rarest first) in
 both windows. k grows with the set (SHARE), so a pair must meet in k regions before it counts as a candidate. Regions recurse:
 
-1. A scan counts grams in a table of constant size, of which only the order of grams comes (any order gives the same result), and gives
+1. A scan counts grams and words in tables of constant size, of which only the order of grams comes (any order gives the same result), and gives
    every row the 64-bit key of its gram set; equal sets are one point from here on.
 2. Windows go to hash buckets, packed. Regions with two points or more stay.
 3. Neighbours in a region that meet k times make clusters: connected components. Pairs of one cluster are settled inside it, all others
-   that meet k times one by one, on the whole sets.
+   that meet as often as their sizes demand (_least_meetings) one by one, on the whole sets.
 4. Inside a cluster, document pivots: the pivot's distances to all are exact; its ball (d <= r) is one group; what lies outside it recurses; by the
    triangle inequality only the window d(y) <= r + max d(x) of those outside can touch the ball, and only boundary members d(x) >= min d(y) - r are held against it.
 
@@ -38,47 +38,73 @@ _SLICES = 16
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-def _sets(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, firsts, keys): the rows' sets, ascending; the key of an empty set is 0."""
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _grams(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, firsts, grams, at): hashes with repetitions, in the order of the text."""
     hashes, firsts = token_hashes(lowered(batch.column(text)))
-    grams, at = gram_hashes(hashes, firsts, n)
+    return hashes, firsts, *gram_hashes(hashes, firsts, n)
+
+
+def _sets(batch: pa.RecordBatch, text: str, n: int, ranks: tuple[np.ndarray, np.ndarray] | None = None, known: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """(grams, firsts, keys): the rows' sets, ascending; the key of an empty set is 0. With ranks, also each gram's place in the order."""
+    words, firsts, grams, at = known or _grams(batch, text, n)
     row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+    rank = np.zeros(len(grams), np.uint8)
+    if ranks is not None:
+        by_word = ranks[1][_cell(words)].astype(np.uint32)
+        total = np.zeros(len(words), np.uint32)
+        for o in range(n):
+            total[: len(words) - o] += by_word[o:]
+        start = np.arange(len(grams)) + np.repeat(firsts[:-1] - at[:-1], np.diff(at))
+        rank = np.maximum(np.where(np.diff(firsts)[row] >= n, total[start] // n, 0).astype(np.uint8), ranks[0][_cell(grams)])
     order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
+    grams, row, rank = grams[order], row[order], rank[order]
     if len(grams):
         new = np.ones(len(grams), np.bool_)
         new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-        grams, row = grams[new], row[new]
+        grams, row, rank = grams[new], row[new], rank[new]
     at = np.searchsorted(row, np.arange(batch.num_rows + 1))
     total = np.zeros(len(grams) + 1, np.uint64)
     np.cumsum(mix(grams ^ _SALT), out=total[1:])
     keys = mix(total[at[1:]] - total[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64))
-    return grams, at, np.where(at[1:] > at[:-1], keys, np.uint64(0))
+    keys = np.where(at[1:] > at[:-1], keys, np.uint64(0))
+    return (grams, at, keys) if ranks is None else (grams, at, keys, rank)
 
 
 def _k(size: np.ndarray, t: float) -> np.ndarray:
     return np.minimum(1 + (size * SHARE).astype(np.int64), np.maximum(1, np.ceil(t * size - 1e-9).astype(np.int64)))
 
 
+def _least_meetings(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Regions in which sets of these sizes within the radius must meet. All their common grams up to where the first of the two windows ends are met; after it, that
+    set has ceil(t s) - k left. What is missing of the least overlap, t / (1 + t) (a + b), must have been met. One less is asked for, should two grams of a set share a region."""
+    left = lambda s: np.ceil(t * s - 1e-9).astype(np.int64) - _k(s, t)
+    return np.maximum(1, np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64) - np.maximum(left(a), left(b)) - 1)
+
+
 def _jaccard(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return overlap / np.maximum(1, a + b - overlap)
 
 
 def _scan(docs: DataFrame, text: str, id_col: str, n: int) -> DataFrame:
-    """A row for each of docs' (its number, id, key), and the counts of grams in slices."""
-    cells = CELLS
+    """A row for each of docs' (its number, id, key), and the counts of grams and words in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.uint32)
+        counts = np.zeros((2, CELLS), np.uint32)
         kind = None
         for whole in batches:
             for batch in pieces(whole, text):
-                grams, _, keys = _sets(batch, text, n)
-                counts += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=cells).astype(np.uint32)
+                known = _grams(batch, text, n)
+                grams, _, keys = _sets(batch, text, n, known=known)
+                for k, x in enumerate((grams, known[0])):
+                    counts[k] += np.bincount(_cell(x), minlength=CELLS).astype(np.uint32)
                 rows, kind = batch.num_rows, batch.column(id_col).type
                 yield pa.RecordBatch.from_arrays([batch.column("_nj_row"), batch.column(id_col), pa.array(keys.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if kind is not None:
-            parts = np.split(counts, _SLICES)
+            parts = np.split(counts.ravel(), _SLICES)
             yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, kind), pa.nulls(_SLICES, pa.int64()), pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
 
     names = ["_nj_row", "_nj_id", "_nj_key", "slice", "counts"]
@@ -86,8 +112,9 @@ def _scan(docs: DataFrame, text: str, id_col: str, n: int) -> DataFrame:
     return docs.select(text, "_nj_row", id_col).mapInArrow(run, T.StructType([T.StructField(a, b) for a, b in zip(names, kinds)]))
 
 
-def _ranks(scan: DataFrame) -> np.ndarray:
-    """For each cell of the table the class of its count: log2, so that grams of like frequency are in the hash's order."""
+def _ranks(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(of grams, of words): ranks by cell, the rare ones low. A gram's rank is the mean of its words', which tells common words' grams from others at any size of the
+    corpus; a gram whose own cell is well above the mean (a passage that many documents share) comes after all of those."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -100,11 +127,14 @@ def _ranks(scan: DataFrame) -> np.ndarray:
 
     schema = "slice int, counts binary"
     found = scan.filter("slice is not null").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(add, schema).collect()
-    counts = np.zeros(CELLS)
+    counts = np.zeros(2 * CELLS)
+    size = len(counts) // _SLICES
     for row in found:
-        counts[row.slice * (CELLS // _SLICES) : (row.slice + 1) * (CELLS // _SLICES)] = np.frombuffer(row.counts, np.uint32)
-    # classes are relative to the mean: cells around it can't be told apart
-    return np.clip(np.round(2 * np.log2(np.maximum(1e-9, counts / max(1.0, counts.mean())))), 0, 100).astype(np.uint8)
+        counts[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.uint32)
+    grams, words = counts[:CELLS], counts[CELLS:]
+    hot = grams > grams.mean() + 5 * np.sqrt(grams.mean()) + 1
+    own = np.where(hot, 200 + np.clip(3 * np.log2(np.maximum(1, grams / max(1.0, grams.mean()))), 0, 55), 0)
+    return own.astype(np.uint8), np.clip(6 * np.log2(np.maximum(1, words)), 0, 199).astype(np.uint8)
 
 
 def _windows(docs: DataFrame, text: str, n: int, t: float, ranks, buckets: int) -> DataFrame:
@@ -115,14 +145,14 @@ def _windows(docs: DataFrame, text: str, n: int, t: float, ranks, buckets: int)
         for whole in batches:
             held: list[tuple] = []
             for batch in pieces(whole, text):
-                grams, at, keys = _sets(batch, text, n)
+                grams, at, keys, rank = _sets(batch, text, n, order)
                 size = np.diff(at)
                 _, first = np.unique(keys, return_index=True)
                 once = np.zeros(len(keys), np.bool_)
                 once[first] = True
                 row = np.repeat(np.arange(len(size)), size)
-                grams, row = grams[once[row]], row[once[row]]
-                spot = (row.astype(np.uint64) << np.uint64(40)) | (order[(grams >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (mix(grams) & np.uint64(0xFFFFFFFF))
+                grams, rank, row = grams[once[row]], rank[once[row]], row[once[row]]
+                spot = (row.astype(np.uint64) << np.uint64(40)) | (rank.astype(np.uint64) << np.uint64(32)) | (mix(grams) & np.uint64(0xFFFFFFFF))
                 by = np.argsort(spot, kind="stable")
                 grams, row = grams[by], row[by]
                 first_of = np.searchsorted(row, np.arange(len(size)))
@@ -150,7 +180,7 @@ def _packed(held: list[tuple]) -> pa.RecordBatch:
 
 
 def _regions(windows: DataFrame, buckets: int) -> DataFrame:
-    """The regions with two points or more: region, key, size; regions of the same points are one, with a weight."""
+    """The regions with two points or more, each a row: the points' keys (ascending) and sizes. Regions of the same points are one, with a weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -172,9 +202,15 @@ def _regions(windows: DataFrame, buckets: int) -> DataFrame:
             total, pick, weight = np.unique(total, return_index=True, return_counts=True)
             start, many = start[pick], many[pick]
             index = np.arange(many.sum()) + np.repeat(start - np.r_[0, np.cumsum(many)[:-1]], many) if len(many) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(total, many).view(np.int64)), pa.array(keys[index].view(np.int64)), pa.array(sizes[index]), pa.array(np.repeat(weight, many).astype(np.int32))], ["region", "key", "size", "weight"])
+            at = np.r_[0, np.cumsum(many)].astype(np.int64)
+            for k in range(0, len(many), 20000):  # rows of a batch
+                part = slice(at[k], at[min(k + 20000, len(many))])
+                off = pa.array((at[k : k + 20001] - at[k]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (keys[index[part]].view(np.int64), sizes[index[part]])]
+                yield pa.RecordBatch.from_arrays([pa.array(total[k : k + 20000].view(np.int64)), *lists, pa.array(weight[k : k + 20000])], ["region", "keys", "sizes", "weight"])
 
-    return windows.repartition(buckets, "bucket").mapInArrow(run, "region long, key long, size int, weight int")
+    packed = windows.repartition(buckets, "bucket").mapInArrow(run, "region long, keys array<long>, sizes array<int>, weight long")
+    return packed.groupBy("region").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"), F.sum("weight").alias("weight"))
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,62 +239,87 @@ def _pairs(region: np.ndarray, cluster: np.ndarray | None) -> Iterator[tuple[np.
         done = stop
 
 
-def _meetings(regions: DataFrame, t: float) -> DataFrame:
-    """(a, b): pairs that meet in at least k regions. A region's rows come together, by cluster if there is that column; see _pairs."""
+def _meetings(regions: DataFrame, t: float, clusters: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(a, b): neighbours that meet in k regions; with clusters (keys, labels), or a column of them, all pairs not of one cluster that meet as often as they must."""
+    own = regions.sparkSession.sparkContext.broadcast(clusters) if clusters is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
         for batch in batches:
-            whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            if not whole.num_rows:
-                continue
-            stop = int(_runs(whole.column("region").to_numpy())[0][-1])  # the last region may go on in the next batch
-            rest = whole.slice(stop)
-            yield from count(whole.slice(0, stop))
-        if rest is not None:
-            yield from count(rest)
-
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        key, size, weight = x["key"], x["size"].astype(np.int64), x["weight"].astype(np.int64)
-        k = _k(size, t)
-        for i, j in _pairs(x["region"], x.get("cluster")):
-            ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            a, b, need, w = np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.minimum(k[i], k[j]), weight[i]
-            if len(a):
-                by = np.lexsort((b, a))
-                a, b, need, w = a[by], b[by], need[by], w[by]
-                start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(need[start]), pa.array(np.add.reduceat(w, start))], ["a", "b", "need", "n"])
+            keys, sizes = batch.column("keys"), batch.column("sizes")
+            many = np.diff(keys.offsets.to_numpy())
+            region = np.repeat(np.arange(len(many)), many)
+            key, size, weight = keys.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), np.repeat(batch.column("weight").to_numpy(), many)
+            cluster = None
+            if own is not None:
+                names, labels = own.value
+                at = np.minimum(np.searchsorted(names, key), max(0, len(names) - 1))
+                cluster = np.where(names[at] == key, labels[at], 0) if len(names) else np.zeros(len(key), np.int64)
+            elif "clusters" in batch.schema.names:
+                cluster = batch.column("clusters").flatten().to_numpy()
+            if cluster is not None and len(key):
+                # regions that lie inside one cluster are settled
+                start = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+                mixed = np.add.reduceat(((cluster != np.repeat(cluster[start], many)) | (cluster == 0)).astype(np.int64), start) > 0
+                keep = np.flatnonzero(np.repeat(mixed, many))
+                keep = keep[np.lexsort((key[keep], cluster[keep], region[keep]))]
+                region, key, size, weight, cluster = region[keep], key[keep], size[keep], weight[keep], cluster[keep]
+            k = _k(size, t)
+            for i, j in _pairs(region, cluster):
+                ok = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
+                i, j = i[ok], j[ok]
+                need = np.minimum(k[i], k[j]) if cluster is None else _least_meetings(size[i], size[j], t)
+                a, b, w = np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), weight[i]
+                if len(a):
+                    by = np.lexsort((b, a))
+                    a, b, need, w = a[by], b[by], need[by], w[by]
+                    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(need[start]), pa.array(np.add.reduceat(w, start))], ["a", "b", "need", "n"])
 
     met = regions.mapInArrow(run, "a long, b long, need long, n long")
     return met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
 
 
+def _small(keys: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(keys, clusters), ascending by key, if they may be broadcast."""
+    if keys.count() * 16 > MAX_BROADCAST:
+        return None
+    table = keys.select("key", "cluster").toArrow()
+    key, cluster = table.column("key").to_numpy(), table.column("cluster").to_numpy()
+    by = np.argsort(key)
+    return key[by], cluster[by]
+
+
+def _clustered(regions: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The way beyond a broadcast: regions with a column of their points' clusters."""
+    point = F.explode(F.arrays_zip("keys", "sizes")).alias("p")
+    flat = regions.select("region", "weight", point).select("region", "weight", F.col("p.keys").alias("key"), F.col("p.sizes").alias("size"))
+    named = flat.join(clusters, "key", "left").select("region", "weight", F.struct("key", "size", F.coalesce("cluster", F.lit(0)).alias("cluster")).alias("p"))
+    whole = named.groupBy("region").agg(F.first("weight").alias("weight"), F.collect_list("p").alias("p"))
+    return whole.select("region", F.col("p.key").alias("keys"), F.col("p.size").alias("sizes"), "weight", F.col("p.cluster").alias("clusters"))
+
+
 def _gram_sets(docs: DataFrame, text: str, n: int, keys: DataFrame) -> DataFrame:
-    """(key, grams, ...) of the points in keys, whose other columns come along. The keys are broadcast up to a size; beyond it, keys of all rows meet them in a join first."""
+    """(key, cluster, grams) of the points in keys (key, cluster), as often as rows have them. keys are broadcast up to a size; beyond it they are joined."""
+    small = _small(keys)
+    own = docs.sparkSession.sparkContext.broadcast(small) if small is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = own.value if own is not None else None
         for whole in batches:
             for batch in pieces(whole, text):
                 grams, at, found = _sets(batch, text, n)
-                keep = found != 0
-                if wanted is not None:
-                    spot = np.minimum(np.searchsorted(wanted, found), max(0, len(wanted) - 1))
-                    keep &= (wanted[spot] == found) if len(wanted) else False
-                _, first = np.unique(found, return_index=True)
-                keep &= np.isin(np.arange(len(found)), first)
+                found = found.view(np.int64)
+                keep, cluster = np.isin(np.arange(len(found)), np.unique(found, return_index=True)[1]) & (found != 0), np.zeros(len(found), np.int64)
+                if own is not None:
+                    names, labels = own.value
+                    spot = np.minimum(np.searchsorted(names, found), max(0, len(names) - 1))
+                    keep &= (names[spot] == found) if len(names) else False
+                    cluster = labels[spot] if len(names) else cluster
                 which = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(found[which].view(np.int64)), pa.array([grams[at[i] : at[i + 1]].tobytes() for i in which], pa.binary())], ["key", "grams"])
+                sets = pa.array([grams[at[i] : at[i + 1]].tobytes() for i in which], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(found[which]), pa.array(cluster[which]), sets], ["key", "cluster", "grams"])
 
-    small = keys.count() * 8 <= MAX_BROADCAST
-    own = None
-    if small:
-        found = np.array([r[0] for r in keys.select("key").distinct().toLocalIterator()], np.int64).view(np.uint64)
-        own = docs.sparkSession.sparkContext.broadcast(np.sort(found))
-    return docs.select(text).mapInArrow(run, "key long, grams binary").groupBy("key").agg(F.first("grams").alias("grams")).join(keys, "key")
+    found = docs.select(text).mapInArrow(run, "key long, cluster long, grams binary")
+    return found if own is not None else found.drop("cluster").join(keys, "key")
 
 
 def ball_groups(sets: list[np.ndarray], t: float) -> list[tuple[int, int]]:
@@ -308,18 +369,19 @@ def links(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> tuple[Da
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = cut(_scan(docs, text, id_col, n), "ngram-scan")
     ranks = spark.sparkContext.broadcast(_ranks(scan))
-    found = _regions(_windows(docs, text, n, t, ranks, buckets), buckets).repartition(buckets, "region").groupBy("region", "key").agg(F.first("size").alias("size"), F.sum("weight").alias("weight"))
-    regions = cut(found.sortWithinPartitions("region", "key"), "ngram-regions")
+    regions = cut(_regions(_windows(docs, text, n, t, ranks, buckets), buckets), "ngram-regions")
     clusters = cut(components(_meetings(regions, t)).withColumnsRenamed({"node": "key", "label": "cluster"}), "ngram-clusters")
-    labelled = regions.join(clusters, "key", "left").select("region", "key", "size", "weight", F.coalesce("cluster", F.lit(0)).alias("cluster"))
-    open_ones = labelled.repartition(buckets, "region").sortWithinPartitions("region", "cluster", "key")
-    others = cut(_meetings(open_ones, t), "ngram-pairs")
-    keys = clusters.select("key", "cluster").unionByName(others.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(clusters, "key", "left_anti").withColumn("cluster", F.lit(0).cast("long")))
+    small = _small(clusters)
+    others = cut(_meetings(regions, t, small) if small is not None else _meetings(_clustered(regions, clusters), t), "ngram-pairs")
+    apart = others.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = clusters.select("key", "cluster").unionByName(apart.join(clusters, "key", "left_anti").withColumn("cluster", F.lit(0).cast("long")))
     sets = cut(_gram_sets(docs, text, n, cut(keys, "ngram-keys")), "ngram-sets")
+    needed = sets.join(apart, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
 
     def settle(table: pa.Table) -> pa.Table:
-        own = table.column("key").to_numpy()
-        found = ball_groups([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")], t)
+        own, first = np.unique(table.column("key").to_numpy(), return_index=True)
+        sets = table.column("grams").combine_chunks()
+        found = ball_groups([np.frombuffer(sets[i].as_buffer(), np.uint64) for i in map(int, first)], t)
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": own[a], "b": own[b]})
 
@@ -332,8 +394,8 @@ def links(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> tuple[Da
                 keep.append(1 - both / max(1, len(x) + len(y) - both) <= 1 - t + 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    inside = sets.filter("cluster <> 0").groupBy("cluster").applyInArrow(settle, "a long, b long")
-    get = lambda k, v: sets.select(F.col("key").alias(k), F.col("grams").alias(v))
+    inside = sets.filter("cluster <> 0").select("cluster", "key", "grams").groupBy("cluster").applyInArrow(settle, "a long, b long")
+    get = lambda k, v: needed.select(F.col("key").alias(k), F.col("grams").alias(v))
     across = others.join(get("a", "x"), "a").join(get("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
     points = scan.filter("slice is null and _nj_key <> 0").select("_nj_row", "_nj_id", "_nj_key")
     return points, inside.unionByName(across)
