@@ -1,0 +1,364 @@
+"""Operators against brute force, held-out accuracy and hand-made cases."""
+
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lakesift.llm import chat, decontamination, html_extract, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filters
+from lakesift.llm.common import components, lowered, token_hashes
+from lakesift.llm.decontamination import words
+
+
+def grams(text, n=3):
+    w = words(text or "")[0]
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard_groups(rows, t=0.6, n=3):
+    """{row: root} by comparing all pairs; rows are (id, text), root is the least place."""
+    sets, parent = [grams(x, n) for _, x in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and len(a & b) >= (t - 1e-9) * len(a | b):
+            p, q = sorted((find(i), find(j)))
+            parent[q] = p
+    return {i: find(i) for i in range(len(rows))}
+
+
+def expected_groups(rows, t=0.6, n=3):
+    root, out = jaccard_groups(rows, t, n), {}
+    for i, r in root.items():
+        out.setdefault(r, []).append(rows[i][0])
+    return {frozenset(v) for v in out.values() if len(v) > 1}
+
+
+def found_groups(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r._nj_group, set()).add(r._nj_id)
+    return {frozenset(v) for v in out.values()}
+
+
+def noisy_corpus(seed, n_base, copies, vocabulary=400):
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(vocabulary)]
+    rows = []
+    for _ in range(n_base):
+        base = [rng.choice(vocab[: rng.choice([30, vocabulary])]) for _ in range(rng.choice([1, 2, 3, 8, 40, 120]))]
+        for _ in range(rng.randint(1, copies)):
+            text = [rng.choice(vocab) if rng.random() < rng.choice([0, 0.02, 0.08, 0.2]) else w for w in base]
+            text = text[: len(text) - rng.choice([0, 0, 0, len(text) // 4])]
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed,t,n", [(1, 0.6, 3), (2, 0.6, 3), (3, 0.8, 2), (4, 0.35, 1)])
+def test_jaccard_join_is_exact(spark, seed, t, n):
+    rows = noisy_corpus(seed, 40, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_groups(ngram_join.groups(df, n=n, t=t)) == expected_groups(rows, t, n)
+
+
+def test_jaccard_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST", -1)
+    rows = noisy_corpus(5, 25, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_groups(ngram_join.groups(df)) == expected_groups(rows)
+    kept = {r.doc_id for r in ngram_join.drop_copies(df, max_broadcast=-1).collect()}
+    assert kept == {rows[i][0] for i, r in jaccard_groups(rows).items() if i == r}
+
+
+def test_jaccard_join_on_documents(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in df.collect())
+    assert found_groups(ngram_join.groups(df)) == expected_groups(rows) != set()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=9), min_size=0, max_size=14), st.sampled_from([0.3, 0.5, 0.6, 0.8]))
+def test_ball_groups(sets, t):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+
+    def roots(links):
+        parent = list(range(len(sets)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in links:
+            p, q = sorted((find(i), find(j)))
+            parent[q] = p
+        return [find(i) for i in range(len(sets))]
+
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= (t - 1e-9) * len(sets[i] | sets[j])]
+    assert roots(ngram_join.ball_groups(arrays, t)) == roots(pairs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1, max_size=40), st.sets(st.integers(0, 60), min_size=1, max_size=40), st.sampled_from([0.35, 0.6, 0.8]))
+def test_windows_meet(a, b, t):
+    """Sets within the radius meet in their windows as often as _least_meetings says."""
+    if len(a & b) < t * len(a | b):
+        return
+    def window(s):
+        size = np.array([len(s)])
+        keep = int(np.minimum(size, size - np.ceil(t * size - 1e-9).astype(int) + ngram_join._k(size, t))[0])
+        return set(sorted(s)[:keep])
+
+    assert len(window(a) & window(b)) >= int(ngram_join._least_meetings(np.array([len(a)]), np.array([len(b)]), t)[0])
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, 102), (102, 101), (101, 100), (7, 7)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_tokens_are_as_in_the_pattern():
+    texts = ["Hello, World!", "a b", "Straße—Ünï 12x", "", "。、ok"]
+    hashes, firsts = token_hashes(lowered(pa.array(texts)))
+    assert np.diff(firsts).tolist() == [len(words(t)[0]) for t in texts]
+    assert hashes[0] == token_hashes(lowered(pa.array(["HELLO"])))[0][0]
+
+
+def brute_decontaminate(rows, items, n=decontamination.N, least=decontamination.MIN_TOKENS, share=decontamination.MAX_SHARE):
+    windows = set()
+    for item in items:
+        w = words(item or "")[0]
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if len(w) >= least else set())
+    out = {}
+    for i, text in rows:
+        w, places = words(text or "")
+        cut = [False] * len(w)
+        for k in range(len(w)):
+            for g in {len(x) for x in windows}:
+                if tuple(w[k : k + g]) in windows and k + g <= len(w):
+                    cut[k : k + g] = [True] * g
+        if sum(cut) > share * len(w):
+            continue
+        out[i] = (sum(cut), None if text is None else " ".join(x for x, c in zip(w, cut) if not c))
+    return out
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_decontamination(spark, sf_dir, limit):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows, items = [(r.doc_id, r.text) for r in docs.collect()], [r.text for r in bench.collect()]
+    leak = " ".join(words(items[0])[0])
+    rows += [(10**6, f"Before it. {leak.upper()} And after it, there is quite a lot of other text. " + "More and more words follow here. " * 30), (10**6 + 1, leak), (10**6 + 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens_cut, None if r.text is None else " ".join(words(r.text)[0])) for r in decontamination.decontaminate(df, bench, max_broadcast=limit).collect()}
+    want = brute_decontaminate(rows, items)
+    assert got == want and 10**6 in got and 10**6 + 1 not in got
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(0)
+    plain = [f"word{k}" for k in range(300)]
+    bad = {"en": ["idiot", "scum", "moron"], "fr": ["crétin", "ordure"]}
+    rows = []
+    for k in range(700):
+        lang = rng.choice(["en", "fr"])
+        toxic = rng.random() < 0.25
+        text = [rng.choice(plain) for _ in range(rng.randint(20, 80))]
+        for _ in range(3 * toxic):
+            text.insert(rng.randrange(len(text)), rng.choice(bad[lang]))
+        rows.append((k, " ".join(text), lang, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(df.filter("doc_id < 500"), df.filter("doc_id < 500").select("doc_id", "toxic"))
+    got = toxicity.score(df.filter("doc_id >= 500"), model).collect()
+    hit = sum(r.is_toxic and r.toxic for r in got)
+    assert hit >= 0.9 * sum(r.toxic for r in got) and hit >= 0.9 * sum(bool(r.is_toxic) for r in got)
+    assert set(model.thresholds) == {"en", "fr"}
+
+
+def test_pooling_is_the_convolution():
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(np.arange(50))
+    model.emb = rng.normal(size=model.emb.shape).astype(np.float32)
+    tokens, firsts = rng.integers(0, 51, (23, 3)), np.array([0, 1, 3, 10, 23])
+    got = toxicity.pooled(model.tables(), model.shift, tokens, firsts)
+    vectors = model.emb[tokens].sum(1)
+    for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
+        want = []
+        for w, kernel in model.kernels.items():
+            own = vectors[a:b] if b - a >= w else np.concatenate([vectors[a:b], np.zeros((w - (b - a), toxicity.DIM))])
+            want += list(np.max([sum(own[k + o] @ kernel[o] for o in range(w)) for k in range(len(own) - w + 1)], axis=0))
+        assert got[i] == pytest.approx(np.maximum(want, 0), abs=1e-4)
+
+
+def test_html():
+    page = """<html><head><title>T</title><script>var x="<p>no, no, no</p>"</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
+<div class="ad">Buy this now, and that, and also that over there, quickly.</div><article><h1>Head</h1><p>First paragraph, which has commas, and is long enough to count &amp; score.<p>Second one, also with <a href=x>a link</a>, and <b>bold
+text</b>, is long enough too.<br>Next line</article><div class=related><p>Read this as well, and this, it is long enough to count, surely.</p></div><footer>All, rights, reserved, and so on and on and on.</footer>"""
+    text, n, score = html_extract.extract(page)
+    assert text == "Head\nFirst paragraph, which has commas, and is long enough to count & score.\nSecond one, also with a link, and bold text, is long enough too. Next line" and n == 3 and score > 2
+    assert html_extract.extract(None) == (None, 0, 0.0) and html_extract.extract("")[0] is None
+    assert html_extract.extract("just a text, without any tags in it")[0] == "just a text, without any tags in it"
+    assert html_extract.extract("<!-- never <p>closed")[0] is None
+    links = "<body><div>" + "<p><a href=x>only links here, in a long paragraph of links</a></p>" * 5 + "</div><div><p>Some plain text, which is what the page is about, really.</p></div></body>"
+    assert html_extract.extract(links)[0] == "Some plain text, which is what the page is about, really."
+
+
+def test_html_on_pages(spark, sf_dir):
+    got = html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    assert all(r.main_text for r in got) and not any("track(" in r.main_text for r in got)
+
+
+def test_url_filter_propagates(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
+    rows = [(1, "http://bad-spam.example/a", link("bad-spam.example")), (2, "https://farm.example/a", link("bad-spam.example")), (3, "https://www.uni.edu/", link("good.example", "GOOD.example")), (4, "https://good.example/z", link("uni.edu")), (5, "http://alone.example", None), (6, None, link("bad-spam.example")), (7, "https://mixed.example", link("bad-spam.example", "a.example", "b.example", "c.example", "uni.edu"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filters.filter_pages(pages).collect()}
+    assert set(got) == {3, 4, 5, 6} and got[4].trust > 0.1 and got[3].host == "uni.edu"
+
+
+def rank_by_hand(edges, seeds, rounds=url_filters.ROUNDS, d=url_filters.DAMPING):
+    rank = {s: 1 - d for s in seeds}
+    for _ in range(rounds):
+        new = {s: 1 - d for s in seeds}
+        for a, b, n in edges:
+            if a in rank:
+                new[b] = new.get(b, 0) + d * rank[a] * n / sum(m for x, _, m in edges if x == a)
+        rank = new
+    return rank
+
+
+def test_propagation_against_loops(spark):
+    rng = random.Random(2)
+    pairs = {(rng.randrange(20), rng.randrange(20)) for _ in range(60)}
+    edges = [(f"h{a}", f"h{b}", rng.randint(1, 4)) for a, b in pairs if a != b]
+    seeds = spark.createDataFrame([("h1",), ("h2",), ("h2",)], "host string")
+    got = {r.host: r["rank"] for r in url_filters.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds).collect()}
+    assert got == pytest.approx(rank_by_hand(edges, ["h1", "h2"]))
+
+
+def test_mix_meets_the_schedule(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join("w" for _ in range(rng.randint(5, 30))), rng.choice(["a", "a", "a", "b", "c"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    schedule = spark.createDataFrame([("a", 0.0, 6.0), ("a", 0.5, 2.0), ("a", 1.0, 0.0), ("b", 0.0, 1.0), ("b", 1.0, 1.0), ("c", 0.0, 0.0), ("c", 0.5, 1.0), ("c", 1.0, 3.0), ("b", 0.5, 1.0)], "source string, u double, weight double")
+    got = mixing.mix(df, schedule).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got) and {r.doc_id for r in got} == set(range(3000))
+    total = sum(r.n_tokens for r in got)
+    for lo, hi in ((0, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 1)):
+        part = [r for r in got if lo <= r.position < hi]
+        us = np.linspace(lo, hi, 1001)
+        w = {"a": np.interp(us, [0, 0.5, 1], [6 / 7, 2 / 4, 0]), "b": np.interp(us, [0, 0.5, 1], [1 / 7, 1 / 4, 1 / 4]), "c": np.interp(us, [0, 0.5, 1], [0, 1 / 4, 3 / 4])}
+        for s in "abc":
+            assert sum(r.n_tokens for r in part if r.source == s) / total == pytest.approx(w[s].mean() * (hi - lo), abs=0.006)
+    assert mixing.mix(df, schedule.filter("source <> 'a'")).filter("source = 'a'").count() == 0
+
+
+def viterbi_by_hand(model, emitted):
+    n = emitted.shape[1]
+    best = max(itertools.product(range(n), repeat=len(emitted)), key=lambda p: model["first"][p[0]] + sum(emitted[k, s] for k, s in enumerate(p)) + sum(model["step"][a, b] for a, b in zip(p, p[1:])))
+    return list(best)
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(4)
+    n = 2 * len(chat.ROLES)
+    model = {"first": rng.normal(size=n), "step": rng.normal(size=(n, n))}
+    lengths = [3, 0, 5, 1, 4]
+    starts = np.r_[0, np.cumsum(lengths)]
+    emitted = rng.normal(size=(starts[-1], n))
+    got = chat.viterbi(model, emitted, starts)
+    for a, b in zip(starts[:-1], starts[1:]):
+        if b > a:
+            assert got[a:b].tolist() == viterbi_by_hand(model, emitted[a:b])
+
+
+def test_roles_are_recovered(spark, sf_dir):
+    rows = {}
+    for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        rows.setdefault(r.conv_id, []).append((r.role, r.text))
+    convs = list(rows.values())
+    model = chat.train([tuple(zip(*c)) for c in convs[::2]])
+    good = total = 0
+    for c in convs[1::2]:
+        lines = chat.lines_of([None] * len(c), [x for _, x in c])
+        truth = [r for r, x in c for _ in chat.lines_of([None], [x])]
+        states = chat.viterbi(model, chat.emissions(model, np.array([x[0] for x in lines]), np.array([x[1] for x in lines])), np.array([0, len(lines)]))
+        good += sum(chat.ROLES[s // 2] == t for s, t in zip(states, truth))
+        total += len(truth)
+    assert good / total > 0.9
+
+
+def test_markers_and_rendering(spark):
+    text = "Human: What is it?\n\nAI: A thing.\nIt is red.\nHuman: <|end|> thanks"
+    df = spark.createDataFrame([(1, 0, None, text)], "conv_id long, turn long, role string, text string")
+    known = spark.createDataFrame([(k, t, r, x) for k in range(30) for t, (r, x) in enumerate([("user", "What is it?"), ("assistant", "A thing.\nIt is red."), ("user", "Thanks.")])], "conv_id long, turn long, role string, text string")
+    r = chat.format_chats(df, chat.fit(known)).first()
+    assert r.chat == "<|user|>\nWhat is it?<|end|>\n<|assistant|>\nA thing.\nIt is red.<|end|>\n<|user|>\n< |end|> thanks<|end|>\n"
+
+
+def brute_licences(text):
+    w, out = words(text or "")[0], set()
+    for name, parts, at in license_scan.phrases(license_scan.TEMPLATES):
+        starts = [[k for k in range(len(w)) if w[k : k + len(p)] == p] for p in parts]
+        if any(all(any(s + lo <= q <= s + hi for q in more) for more, (lo, hi) in zip(starts[1:], at[1:])) for s in starts[0]):
+            out.add(name)
+    return out
+
+
+def test_licences_against_brute_force(spark, sf_dir):
+    rng = random.Random(0)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    fill = ["the", "of", "license", "public", "version", "software", "gnu", "general", "2", "3"]
+    for k in range(300):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            text += [rng.choice(fill) for _ in range(rng.randint(0, 20))]
+            for p in license_scan.TEMPLATES[rng.choice(list(license_scan.TEMPLATES))]:
+                text += [rng.choice(fill) for _ in range(rng.randint(0, 260))] if p == "..." else p.split() if rng.random() < 0.9 else p.split()[1:]
+                text += [rng.choice(fill)] * rng.choice([0, 0, 1, 3, 20])
+        rows.append((10**6 + k, " ".join(text)))
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    want = {i: f for i, t in rows if (f := brute_licences(t))}
+    assert got == want and len({x for v in want.values() for x in v}) > 12
+
+
+def test_line_dedup_without_broadcast(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = sorted(map(tuple, line_dedup.drop_lines(docs, min_pages=2, min_on=2).collect()))
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST", -1)
+    assert one == sorted(map(tuple, line_dedup.drop_lines(docs, min_pages=2, min_on=2).collect()))
+
+
+def test_pipeline_against_brute_force(spark, duck, sf_dir):
+    """SQL for the first two stages and the last, all pairs and all windows for the others."""
+    from lakesift.llm import quality_rules
+
+    duck.execute(f"CREATE OR REPLACE TEMP TABLE t1 AS SELECT doc_id, lang, source, text FROM ({quality_rules.CLEANED_SQL.replace('{docs}', 'documents')})")
+    duck.execute(f"CREATE OR REPLACE TEMP TABLE t2 AS SELECT doc_id, source, text FROM ({line_dedup.DROPPED_SQL.replace('{docs}', 't1')})")
+    rows = sorted(duck.execute("SELECT doc_id, text FROM t2").fetchall())
+    kept = [rows[i] for i, r in jaccard_groups(rows).items() if i == r]
+    items = [r[0] for r in duck.execute("SELECT text FROM benchmark").fetchall()]
+    want = brute_decontaminate(kept, items)
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id: " ".join(words(r.text)[0]) for r in got} == {i: t for i, (_, t) in want.items()}
+    final = [(r.doc_id, r.source, r.text) for r in got if r.epoch == 0]
+    duck.execute("CREATE OR REPLACE TEMP TABLE t4 (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    duck.executemany("INSERT INTO t4 VALUES (?, ?, ?)", final)
+    mixed = duck.execute(f"SELECT doc_id, epoch, round(position, 9), n_tokens FROM ({mixing.MIXED_SQL.replace('{docs}', 't4').replace('{columns}', '')})").fetchall()
+    assert sorted((r.doc_id, r.epoch, round(r.position, 6), r.n_tokens) for r in got) == sorted((a, b, round(c, 6), d) for a, b, c, d in mixed)
+    assert [r.position for r in got] == sorted(r.position for r in got)

@@ -1,0 +1,14 @@
+import re
+
+import pytest
+
+from lakesift.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(name, same):
+    same(QUERIES[name], ORACLES[name])
+
+
+def test_names():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
