@@ -3,7 +3,7 @@ by the host's pages, is the line's ratio; lines above the boilerplate ratio are
 
 Lines are counted by two 64-bit hashes (two seeds: 128 bits), so that text isn't shuffled for the count; partial sums are made before the
 shuffle and a page counts a line once. A host can have no more than (lines a page) / ratio lines above the ratio whatever its size, so what is
-joined back to the pages by host is small for each host; the engine picks broadcast or shuffle by its size.
+joined back to the pages by host is small for each host. It is written once and its size is checked: broadcast, the text doesn't move; beyond MAX_BROADCAST it is a shuffle join.
 
 Defined cases: a null text stays null, an empty one empty; neither has lines, but the page counts in its host's total. Null is a host of its own.
 Blank lines are never counted nor dropped. A line that repeats in a page counts once and each of its copies is dropped. A page whose lines are
@@ -16,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.llm.common import cut
+
 #: A line on more than this share of a host's pages is boilerplate; hosts with fewer pages than MIN_PAGES are left alone, as are lines on fewer than MIN_ON pages.
 MAX_RATIO, MIN_PAGES, MIN_ON = 0.05, 10, 3
+#: Bytes of the lines' keys to broadcast at most; beyond it the pages meet them in a join by host.
+MAX_BROADCAST = 64 << 20
 
 
 def _key(line: Column) -> Column:
@@ -42,7 +46,9 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_r
 
 def drop_lines(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """docs with boilerplate lines dropped from the text, and n_lines_dropped added."""
-    found = boilerplate(docs, text, host, **limits)
+    found = cut(boilerplate(docs, text, host, **limits), "boilerplate")
+    if 64 * (found.agg(F.sum(F.size("_ld_drop") + 1)).first()[0] or 0) <= MAX_BROADCAST:
+        found = F.broadcast(found)
     joined = docs.join(found, F.col(host).eqNullSafe(F.col("_ld_host")), "left").withColumn("_ld_lines", _lines(F.col(text)))
     kept = F.when(F.col("_ld_drop").isNull(), F.col("_ld_lines")).otherwise(F.filter("_ld_lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_ld_drop"), _key(x))))
     return (
