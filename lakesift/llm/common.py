@@ -126,7 +126,8 @@ def gram_hashes(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndar
     count = np.diff(firsts)
     acc = np.zeros(len(hashes), np.uint64)
     for k in range(n):
-        acc[: len(hashes) - k] = acc[: len(hashes) - k] * np.uint64(0x2545F4914F6CDD1D) + hashes[k:]
+        m = max(0, len(hashes) - k)
+        acc[:m] = acc[:m] * np.uint64(0x2545F4914F6CDD1D) + hashes[k:]
     acc = mix(acc + np.uint64(n))
     grams = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     for i in np.flatnonzero((count > 0) & (count < n)):

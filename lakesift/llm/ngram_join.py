@@ -57,7 +57,7 @@ def _sets(batch: pa.RecordBatch, text: str, n: int, ranks: tuple[np.ndarray, np.
         by_word = ranks[1][_cell(words)].astype(np.uint32)
         total = np.zeros(len(words), np.uint32)
         for o in range(n):
-            total[: len(words) - o] += by_word[o:]
+            total[: max(0, len(words) - o)] += by_word[o:]
         start = np.arange(len(grams)) + np.repeat(firsts[:-1] - at[:-1], np.diff(at))
         rank = np.maximum(np.where(np.diff(firsts)[row] >= n, total[start] // n, 0).astype(np.uint8), ranks[0][_cell(grams)])
     order = np.lexsort((grams, row))
