@@ -9,36 +9,45 @@ from lakesift.llm import decontamination, line_dedup, mixing, ngram_join, qualit
 from lakesift.llm.common import cut
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with columns that aren't of documents under names that no operator uses."""
+    return docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c not in OWN})
+
+
 def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """df with the columns of docs, n_chars counted anew where the text changed."""
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    """df with the columns of docs, and n_chars counted anew."""
+    back = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c if c in OWN else f"_doc_{c}").alias(c) for c in docs.columns]
+    return df.select(*back)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: failing lines go, and documents that lose too much."""
-    return _documents(quality_rules.clean_lines(docs), docs)
+    return _documents(quality_rules.clean_lines(_aside(docs)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: lines go that are on too many of their source's documents."""
-    return _documents(line_dedup.drop_lines(docs), docs)
+    return _documents(line_dedup.drop_lines(_aside(docs)), docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near duplicates the document of least id stays."""
-    return _documents(ngram_join.drop_copies(docs), docs)
+    return _documents(ngram_join.drop_copies(_aside(docs)), docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: benchmark passages are cut out; documents that consist of them go."""
-    return _documents(decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+    return _documents(decontamination.decontaminate(_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents in training order, with n_tokens, epoch and position. Each is there once at least."""
-    return mixing.mix(docs).select(*docs.columns, "n_tokens", "epoch", F.round("position", 9).alias("position"))
+    added = ("n_tokens", "epoch", "position")
+    out = mixing.mix(_aside(docs))
+    return out.select(*(F.col(c if c in OWN else f"_doc_{c}").alias(c) for c in docs.columns if c not in added), "n_tokens", "epoch", F.round("position", 9).alias("position"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", copies), ("benchmark decontamination", leaks), ("mixing to target weights", mixed)]
