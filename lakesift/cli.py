@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from lakesift.operators import gaps, mix, quality, report
+from lakesift.operators import gaps, mix, quality, report, synth
 from lakesift.plans import curation
 from lakesift.session import session
 from lakesift.sources import tables
@@ -22,17 +22,17 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument(f"--{name}", type=float, default=value)
     p = commands.add_parser("augment", help="plan and make synthetic clips for under-represented groups")
     p.add_argument("--manifest", required=True)
-    p.add_argument("--out", default="data/synthetic")
+    p.add_argument("--out", default="outputs/synthetic")
     p.add_argument("--max-ratio", type=float, default=0.6)
     p.add_argument("--min-gap", type=float, default=0.03)
-    p.add_argument("--min-snr", type=float, default=20.0)
-    p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--dry-run", action="store_true", help="only print the plan")
+    p.add_argument("--min-snr", type=float, default=synth.GATE.min_snr_db)
     p = commands.add_parser("ablate", help="mixes of real and synthetic rows at several ratios")
     p.add_argument("--real", required=True)
     p.add_argument("--synthetic", required=True)
     p.add_argument("--out", default="results")
     p.add_argument("--ratios", type=float, nargs="+", default=list(mix.RATIOS))
-    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--seed", help="of the holdout and the samples", type=int, default=42)
     commands.add_parser("voices", help="the voice catalog")
     a = parser.parse_args(argv)
     if a.command == "voices":

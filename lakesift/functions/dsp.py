@@ -7,8 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 
+Signal = np.ndarray
 
-def frame_rms(x: np.ndarray, sr: int, ms: float = 25.0) -> tuple[np.ndarray, int]:
+
+def frame_rms(x: Signal, sr: int, ms: float = 25.0) -> tuple[np.ndarray, int]:
     """(level of each half-overlapping frame, hop). Frames are centred: the signal is padded with zeros by half a frame at both ends."""
     length = int(ms / 1000 * sr)
     hop = length // 2
@@ -17,7 +19,7 @@ def frame_rms(x: np.ndarray, sr: int, ms: float = 25.0) -> tuple[np.ndarray, int
     return np.sqrt(np.mean(frames * frames, axis=1)), hop
 
 
-def snr_db(x: np.ndarray, sr: int, ms: float = 25.0) -> float:
+def snr_db(x: Signal, sr: int, ms: float = 25.0) -> float:
     """Loud against quiet frames (90th and 10th percentile) in dB, between 0 and 80. Frames of digital silence don't count; without others it is 0."""
     level, _ = frame_rms(x, sr, ms)
     level = level[level > 0]
@@ -31,7 +33,7 @@ def snr_db(x: np.ndarray, sr: int, ms: float = 25.0) -> float:
     return float(np.clip(20 * np.log10(loud / (quiet + 1e-10)), 0, 80))
 
 
-def silence_ratio(x: np.ndarray, sr: int, top_db: float = 30.0, ms: float = 25.0) -> float:
+def silence_ratio(x: Signal, sr: int, top_db: float = 30.0, ms: float = 25.0) -> float:
     """Share of samples in frames that lie top_db or more under the loudest frame; 1 for a clip of zeros."""
     level, hop = frame_rms(x, sr, ms)
     peak = level.max(initial=0.0)
@@ -43,21 +45,21 @@ def silence_ratio(x: np.ndarray, sr: int, top_db: float = 30.0, ms: float = 25.0
     return float(np.clip(1 - length[speech].sum() / len(x), 0, 1))
 
 
-def is_clipped(x: np.ndarray, threshold: float = 0.99) -> bool:
+def is_clipped(x: Signal, threshold: float = 0.99) -> bool:
     return bool(np.mean(np.abs(x) >= threshold) > 0.001)
 
 
-def rms_db(x: np.ndarray) -> float:
+def rms_db(x: Signal) -> float:
     level = float(np.sqrt(np.mean(np.asarray(x, np.float64) ** 2)))
     return -120.0 if level < 1e-10 else 20 * float(np.log10(level))
 
 
-def pcm_md5(x: np.ndarray) -> str:
+def pcm_md5(x: Signal) -> str:
     """MD5 of the clip as 16-bit samples, rounded toward zero; values beyond full scale wrap."""
     return hashlib.md5((np.asarray(x, np.float64) * 32767).astype(np.int64).astype(np.int16).tobytes()).hexdigest()
 
 
-def resample(x: np.ndarray, sr: int, target: int, taps: int = 32) -> np.ndarray:
+def resample(x: Signal, sr: int, target: int, taps: int = 32) -> np.ndarray:
     """Windowed-sinc resampling."""
     if sr == target or not len(x):
         return np.asarray(x, np.float32)
@@ -94,7 +96,7 @@ def _matrices(sr: int, n_fft: int, bands: int, n_mfcc: int) -> tuple[np.ndarray,
     return filters, cosines
 
 
-def mfcc_embedding(x: np.ndarray, sr: int, n_mfcc: int = 20, n_fft: int = 512, hop: int = 160, bands: int = 128) -> np.ndarray:
+def mfcc_embedding(x: Signal, sr: int, bands: int = 128, n_fft: int = 512, hop: int = 160, n_mfcc: int = 20) -> np.ndarray:
     """Mean and deviation over time of n_mfcc cepstral coefficients, of length 1; zeros for an empty clip."""
     if not len(x):
         return np.zeros(2 * n_mfcc, np.float32)
@@ -109,4 +111,5 @@ def mfcc_embedding(x: np.ndarray, sr: int, n_mfcc: int = 20, n_fft: int = 512, h
 
 
 def planes(n_bits: int, dim: int, seed: int = 42) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n_bits, dim)).astype(np.float32)
+    """Normals of n_bits random planes."""
+    return np.float32(np.random.default_rng(seed).standard_normal(size=(n_bits, dim)))

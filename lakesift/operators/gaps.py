@@ -10,23 +10,25 @@ from pyspark.sql import functions as F
 from lakesift.functions.text import accent_column
 from lakesift.schemas import PLAN
 
-#: (gender, accent) -> voices of a speech service, in the order of preference.
-VOICES: dict[tuple[str, str], list[str]] = {
-    ("female", "american"): ["en-US-JennyNeural", "en-US-AriaNeural"],
-    ("male", "american"): ["en-US-GuyNeural", "en-US-EricNeural"],
-    ("female", "british"): ["en-GB-SoniaNeural", "en-GB-LibbyNeural"],
-    ("male", "british"): ["en-GB-RyanNeural", "en-GB-ThomasNeural"],
-    ("female", "australian"): ["en-AU-NatashaNeural"],
-    ("male", "australian"): ["en-AU-WilliamNeural"],
-    ("female", "indian"): ["en-IN-NeerjaNeural"],
-    ("male", "indian"): ["en-IN-PrabhatNeural"],
-    ("female", "canadian"): ["en-CA-ClaraNeural"],
-    ("male", "canadian"): ["en-CA-LiamNeural"],
-    ("female", "irish"): ["en-IE-EmilyNeural"],
-    ("male", "irish"): ["en-IE-ConnorNeural"],
-    ("female", "south_african"): ["en-ZA-LeahNeural"],
-    ("male", "south_african"): ["en-ZA-LukeNeural"],
-}
+#: Voices of a speech service: locale, accent, gender, names in the order of preference.
+_CATALOG = """
+en-US american male Guy Christopher Eric
+en-US american female Jenny Aria Michelle
+en-GB british male Ryan Thomas
+en-GB british female Sonia Libby Maisie
+en-AU australian male William
+en-AU australian female Natasha
+en-IN indian male Prabhat
+en-IN indian female Neerja
+en-CA canadian male Liam
+en-CA canadian female Clara
+en-IE irish female Emily
+en-NZ new_zealand female Molly
+en-ZA south_african male Luke
+en-ZA south_african female Leah
+"""
+#: By gender and accent.
+VOICES = {(g, a): [f"{where}-{name}Neural" for name in names] for where, a, g, *names in (line.split() for line in _CATALOG.strip().split("\n"))}
 _WHO = ("The gardener", "A young doctor", "My neighbour", "The night train", "Our teacher")
 _WHAT = (
     "waited near the old bridge until the rain stopped.", "asked for a quiet room on the second floor.", "brought seven green apples from the market.", "will be ready at half past nine tomorrow.", "has never seen the ocean in winter.",

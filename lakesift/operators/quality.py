@@ -18,11 +18,11 @@ from lakesift.schemas import QUALITY
 class Thresholds:
     """A clip that lies on a threshold passes."""
 
-    min_duration_sec: float = 0.5
-    max_duration_sec: float = 30.0
-    min_snr_db: float = 15.0
-    max_silence_ratio: float = 0.4
-    clipping: float = 0.99
+    min_duration_sec: float = 0.5  # shorter: too_short
+    max_duration_sec: float = 30.0  # longer: too_long
+    min_snr_db: float = 15.0  # less: low_snr
+    max_silence_ratio: float = 0.4  # more: too_silent
+    clipping: float = 0.99  # of full scale
     min_rms_db: float = -40.0
 
 

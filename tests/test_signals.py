@@ -10,7 +10,9 @@ SR = 16000
 
 
 def tone(freq=440.0, seconds=2.0, amplitude=0.5):
-    return (amplitude * np.sin(2 * np.pi * freq * np.arange(int(seconds * SR)) / SR)).astype(np.float32)
+    n = int(seconds * SR)
+    t = np.arange(n) * (1 / SR)
+    return np.float32(np.sin(t * freq * 2 * np.pi) * amplitude)
 
 
 def speech(seconds=3.0):
