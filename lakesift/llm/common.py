@@ -54,6 +54,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame, folder: str) -> None:
+    """Deletes the table that cut wrote, once nothing reads it any more."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if path.rpartition("/")[2].startswith(f"{folder}-"):
+            target = hadoop(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df such that its rows have the same numbers (monotonically_increasing_id) whenever they are computed: as it is, if it is a scan and
+    projections; else written first, since shuffles and samples may order rows anew."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return cut(df, "stable") if any(x in plan for x in ("Exchange", "Sample", "InMemory", "Adaptive", "Window", "Join")) else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = x ^ (x >> np.uint64(32))
@@ -166,6 +182,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
+        last = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = tidy(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -173,7 +190,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "a")
         now = cut(tidy(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))), "components")
         after = sign(now)
+        forget(last, "components")
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"the components are not complete after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

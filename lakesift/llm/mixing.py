@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import cut
+from lakesift.llm.common import cut, stable
 
 #: At the end of training a source's weight is its share of tokens to this power, scaled to sum 1; at the start it is the share itself.
 TEMPER, SEED, MAX_BROADCAST = 0.7, 17, 64 << 20
+#: What a row of positions takes in a broadcast, as measured.
+ROW_BYTES = 112
 
 
 def tokens(text: Column) -> Column:
@@ -54,7 +56,7 @@ def demands(schedule: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, total: int | None = None, text: str = "text", source: str = "source", id_col: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs in the order of their position, with n_tokens, epoch (from 0) and position (in [0, 1]); see above. Every source needs knots at 0 and 1."""
-    docs = docs.drop("n_tokens", "epoch", "position").withColumn("_mx_row", F.monotonically_increasing_id())
+    docs = stable(docs).drop("n_tokens", "epoch", "position").withColumn("_mx_row", F.monotonically_increasing_id())
     order = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     narrow = docs.select("_mx_row", F.col(source).alias("source"), F.col(id_col).alias("_mx_id"), order.alias("h"), tokens(F.col(text)).alias("n_tokens"))
     narrow = cut(narrow.withColumn("bucket", F.substring("h", 1, 3)), "mix-tokens")
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, total: int | None =
     root = F.sqrt(F.greatest(F.lit(0.0), F.col("seg.w") * F.col("seg.w") + 2 * F.col("seg.slope") * rest))
     position = F.when(rest == 0, F.col("seg.u")).otherwise(F.least(F.lit(1.0), F.col("seg.u") + 2 * rest / (F.col("seg.w") + root)))
     places = cut(at.select("_mx_row", "n_tokens", F.col("epoch").cast("bigint").alias("epoch"), position.alias("position")), "mix-places")
-    if places.count() * 32 <= max_broadcast:
+    if places.count() * ROW_BYTES <= max_broadcast:
         places = F.broadcast(places)
     return docs.join(places, "_mx_row").orderBy("position", id_col, "_mx_row").drop("_mx_row")
 
