@@ -11,13 +11,18 @@ from lakesift.functions.text import words
 _BASE = 0x4E00
 
 
-def edits(ref: Column, hyp: Column, lower: bool = True) -> tuple[Column, Column, Column]:
-    """(edits, words of the reference, words of the hypothesis)."""
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns by a generator of one row, which the optimizer doesn't see through: else these costly arrays are made again at each of their uses."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def with_edits(df: DataFrame, ref: str, hyp: str, edits: str, n_ref: str, n_hyp: str, lower: bool = True) -> DataFrame:
+    """df with the edits and both sides' numbers of words under these names."""
     clean = lambda c: words(F.lower(F.coalesce(c, F.lit(""))) if lower else F.coalesce(c, F.lit("")))
-    a, b = clean(ref), clean(hyp)
-    names = F.array_union(a, b)
-    spell = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position(names, w) + _BASE), 4, "0")), "")), "UTF-16BE")
-    return F.levenshtein(spell(a), spell(b)), F.size(a), F.size(b)
+    spell = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position("_names", w) + _BASE), 4, "0")), "")), "UTF-16BE")
+    both = _once(_once(df, _a=clean(F.col(ref)), _b=clean(F.col(hyp))), _names=F.array_union("_a", "_b"))
+    done = _once(both, **{edits: F.levenshtein(spell("_a"), spell("_b")).cast("bigint"), n_ref: F.size("_a").cast("bigint"), n_hyp: F.size("_b").cast("bigint")})
+    return done.drop("_a", "_b", "_names")
 
 
 def rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -27,8 +32,8 @@ def rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:
 
 def score(df: DataFrame, ref: str = "sentence", hyp: str = "hypothesis") -> DataFrame:
     """df with wer_edits, wer_words and wer."""
-    d, n, m = edits(F.col(ref), F.col(hyp))
-    return df.withColumns({"wer_edits": d.cast("bigint"), "wer_words": n.cast("bigint"), "wer": rate(d, n, m)})
+    done = with_edits(df.drop("wer_edits", "wer_words", "wer"), ref, hyp, "wer_edits", "wer_words", "_m")
+    return done.withColumn("wer", rate(F.col("wer_edits"), F.col("wer_words"), F.col("_m"))).drop("_m")
 
 
 def corpus(scored: DataFrame, by: str | None = None, macro: bool = False) -> DataFrame:
@@ -49,9 +54,8 @@ def evaluate_split(df: DataFrame, ref: str = "sentence", hyp: str = "hypothesis"
 
 def compare(df: DataFrame, ref: str, base: str, tuned: str) -> DataFrame:
     """One row: both models' rates in %, the difference, the relative one (null if the base rate is 0) and its direction."""
-    d0, n, _ = edits(F.col(ref), F.col(base))
-    d1, _, _ = edits(F.col(ref), F.col(tuned))
-    sums = df.select(d0.alias("d0"), d1.alias("d1"), n.alias("n")).agg(*(F.sum(c).cast("double").alias(c) for c in ("d0", "d1", "n")))
+    both = with_edits(with_edits(df.select(ref, base, tuned), ref, base, "d0", "n", "_m0"), ref, tuned, "d1", "_n1", "_m1")
+    sums = both.agg(*(F.sum(c).cast("double").alias(c) for c in ("d0", "d1", "n")))
     rates = sums.select(F.bround(100 * F.col("d0") / F.col("n"), 2).alias("base_wer"), F.bround(100 * F.col("d1") / F.col("n"), 2).alias("tuned_wer"))
     delta = F.bround(F.col("tuned_wer") - F.col("base_wer"), 2)
     return rates.select(
