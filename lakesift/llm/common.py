@@ -67,7 +67,7 @@ def stable(df: DataFrame) -> DataFrame:
     """df such that its rows have the same numbers (monotonically_increasing_id) whenever they are computed: as it is, if it is a scan and
     projections; else written first, since shuffles and samples may order rows anew."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return cut(df, "stable") if any(x in plan for x in ("Exchange", "Sample", "InMemory", "Adaptive", "Window", "Join")) else df
+    return cut(df, "stable") if any(x in plan for x in ("Exchange", "Sample", "InMemoryTableScan", "Adaptive", "Window", "Join")) else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:
