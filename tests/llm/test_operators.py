@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakesift.llm import chat, decontamination, html_extract, license_scan, line_dedup, mixing, ngram_join, toxicity, url_filters
-from lakesift.llm.common import components, lowered, token_hashes
+from lakesift.llm.common import components, lowered, stable, token_hashes
 from lakesift.llm.decontamination import words
 
 
@@ -362,3 +362,10 @@ def test_pipeline_against_brute_force(spark, duck, sf_dir):
     mixed = duck.execute(f"SELECT doc_id, epoch, round(position, 9), n_tokens FROM ({mixing.MIXED_SQL.replace('{docs}', 't4').replace('{columns}', '')})").fetchall()
     assert sorted((r.doc_id, r.epoch, round(r.position, 6), r.n_tokens) for r in got) == sorted((a, b, round(c, 6), d) for a, b, c, d in mixed)
     assert [r.position for r in got] == sorted(r.position for r in got)
+
+
+def test_scans_are_not_copied(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert stable(docs) is docs
+    ordered = docs.orderBy("doc_id")
+    assert stable(ordered) is not ordered
