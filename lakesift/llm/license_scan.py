@@ -10,7 +10,8 @@ Two passes: the first counts in how many files each licence word is (a few hundr
 index is of constant size and is sent to the tasks.
 
 Defined cases: a null or empty text has no licence. A text that holds a licence many times has a row for it once, at its first place, with the number of places. Two templates
-that share words are each found where their phrases are; where one's phrases include another's at the same place (Apache in a header), both are rows. Rows that repeat are scanned alike. An empty table gives an empty one. Extra
+that share words are each found where their phrases are; where one's phrases include another's at the same place (Apache in a header), both are rows. A short Creative Commons form
+counts as the longest one at its place ("CC BY-NC 4.0" is no CC BY). Rows that repeat are scanned alike. An empty table gives an empty one. Extra
 columns, apart from the id, aren't carried.
 """
 
@@ -48,6 +49,15 @@ TEMPLATES = {
     "WTFPL": ("do what the fuck you want to public license",),
     "proprietary": ("all rights reserved",),
 }
+#: Creative Commons licences in short, as notices and SPDX identifiers have them ("CC BY-NC 4.0", "CC-BY-NC-4.0"), by version.
+CC_FORMS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
+CC_VERSIONS = ("1 0", "2 0", "2 1", "2 5", "3 0", "4 0")
+TEMPLATES |= {f"CC-{f.upper().replace(' ', '-')}-{v.replace(' ', '.')}": (f"cc {f} {v}",) for f in CC_FORMS for v in CC_VERSIONS} | {"CC0-1.0": ("cc0 1 0",)}
+#: Other SPDX identifiers; those that are common words or short names count after the tag only.
+TEMPLATES |= {f"{x}-id": (x.lower().replace("-", " ").replace(".", " "),) for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "EPL-1.0", "EPL-2.0")}
+TEMPLATES |= {f"{x}-id": (f"spdx license identifier {x.lower()}",) for x in ("MIT", "ISC", "Unlicense", "WTFPL")}
+#: Short forms without a version: a longer form at the same place isn't one.
+UNVERSIONED = {f"CC-{f.upper().replace(' ', '-')}": f"cc {f}" for f in CC_FORMS} | {"CC0": "cc0"}
 #: Tokens that may stand at a "...".
 GAP = 220
 
@@ -94,8 +104,8 @@ def licence_words(docs: DataFrame, text: str, templates: dict) -> dict[int, int]
 
 def find(hashes: np.ndarray, plan: list[tuple]) -> list[tuple[str, int, int]]:
     """(licence, first place, places) in a file's token hashes. plan: see scan."""
-    out = []
-    for name, parts, at, anchors in plan:
+    out: dict[str, tuple[int, int]] = {}
+    for name, parts, at, anchors, longer in plan:
         lists = []
         for p, a in zip(parts, anchors):
             places = np.flatnonzero(hashes == p[a]) - a  # where the phrase begins, by its rarest word
@@ -112,9 +122,14 @@ def find(hashes: np.ndarray, plan: list[tuple]) -> list[tuple[str, int, int]]:
         for p, more, (lo, hi) in zip(parts[1:], lists[1:], at[1:]):
             more = more[_whole(hashes, more, p)]
             place = place[np.searchsorted(more, place + lo) < np.searchsorted(more, place + hi, "right")]
+        for p in longer:
+            fits = place + len(p) <= len(hashes)
+            fits[fits] = _whole(hashes, place[fits], p)
+            place = place[~fits]
         if len(place):
-            out.append((name, int(place[0]), len(place)))
-    return out
+            first, n = out.get(name, (int(place[0]), 0))
+            out[name] = min(first, int(place[0])), n + len(place)
+    return [(name, *x) for name, x in out.items()]
 
 
 def _whole(hashes: np.ndarray, places: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -126,13 +141,16 @@ def _whole(hashes: np.ndarray, places: np.ndarray, phrase: np.ndarray) -> np.nda
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", templates: dict | None = None) -> DataFrame:
     """(id_col, license, first_token, n_places): a row for each licence found in a row of docs."""
+    short = UNVERSIONED if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     counts = licence_words(docs, text, templates)
     plan = []
-    for name, parts, at in phrases(templates):
+    for name, parts, at in [*phrases(templates), *phrases({k: (x,) for k, x in short.items()})]:
         keys = [_key(p) for p in parts]
-        plan.append((name, keys, at, [min(range(len(k)), key=lambda i: (counts.get(int(k[i]), 0), i)) for k in keys]))
-    rarest = [min(k[a] for k, a in zip(keys, anchors) if counts.get(int(k[a]), 0) == min(counts.get(int(q[b]), 0) for q, b in zip(keys, anchors))) for _, keys, _, anchors in plan]
+        own = " ".join(parts[0])
+        longer = [_key(x.split()) for (x, *_) in [*templates.values(), *((x,) for x in short.values())] if x.startswith(f"{own} ")] if short.get(name) == own else []
+        plan.append((name, keys, at, [min(range(len(k)), key=lambda i: (counts.get(int(k[i]), 0), i)) for k in keys], longer))
+    rarest = [min(k[a] for k, a in zip(keys, anchors) if counts.get(int(k[a]), 0) == min(counts.get(int(q[b]), 0) for q, b in zip(keys, anchors))) for _, keys, _, anchors, _ in plan]
     index = np.unique(np.array(rarest, np.uint64))
     of_word = {int(w): [p for p, r in zip(plan, rarest) if r == w] for w in index}
 
