@@ -1,13 +1,15 @@
 """Toxicity (2): a convolutional text classifier. Words are hashed to embeddings (a word's is the sum of its own and those of its first bytes, PREFIXES); filters of several widths slide over them; each filter's greatest
-value in the text goes through a linear layer to a score. It is trained with numpy on the driver, and thresholds are calibrated by language on held-out rows.
+value in the text goes through a linear layer to a score. It is trained with numpy on the driver, and thresholds are calibrated by language on all labelled rows that it wasn't trained on.
 
 Since a filter is linear in the embeddings, its value at a place is a sum of table look-ups, one for each word under it: for scoring, embeddings
 and filters are folded into one table (bucket, offset, filter), and a batch of documents costs a few gathers and one maximum by document. Scoring is one Arrow pass
 without a shuffle; the table is of constant size.
 
-Training reads a bounded sample of labelled rows, chosen by hash (MAX_TRAINING rows with both classes in their proportions; a documented parameter); everything else reads all
-rows, and texts are read whole in either case. A language's threshold is the one with the best F1 on held-out rows of this language, drawn towards
-the common one where it has few toxic rows (MIN_TOXIC); null and unseen languages have the common threshold.
+Training reads a bounded sample of labelled rows, chosen by hash (MAX_TRAINING rows with both classes in their proportions; a documented parameter) and leaves every fourth of
+them out; everything else reads all rows, and texts are read whole in either case. A language's threshold is the one with the best F1 on all labelled rows of this language whose text
+wasn't trained on, drawn towards the common one where it has few toxic rows (MIN_TOXIC); null and unseen languages have the common threshold. For that, documents are scored
+in a pass without a shuffle; ids and scores meet the labels, exact counts by language, score and label are summed, and F1 at each score comes from running sums in two steps
+(ranges of scores, then inside each), so that a large language isn't one task. The driver gets a row for each language.
 
 Defined cases: a null or empty text has score null and isn't toxic. Labels that are null are left out. Without a toxic and a clean labelled row nothing can be learnt: all scores are null.
 Rows that repeat get equal scores; ties with the threshold are toxic. Empty tables give empty ones. Extra columns stay; toxic_score, threshold and is_toxic are overwritten.
@@ -15,25 +17,28 @@ Rows that repeat get equal scores; ties with the threshold are toxic. Empty tabl
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesift.llm.common import lowered, pieces, span_hashes, token_spans
+from lakesift.llm.common import cut, lowered, pieces, span_hashes, token_spans
 
-#: Rows to train and calibrate on at most; bits of a word's hash bucket; width of an embedding; filter widths and filters of each.
+#: Labelled rows to take for training at most; bits of a word's hash bucket; width of an embedding; filter widths and filters of each.
 MAX_TRAINING, BITS, DIM, WIDTHS, FILTERS = 6000, 22, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 10, 64, 0.02, 1e-3, 5
 #: Lengths in bytes of the beginnings that have embeddings too; share of a text's words that a training step leaves out.
 PREFIXES, DROPOUT = (4, 6), 0.3
 #: Training texts that a bucket must be in to have an embedding; all others share one of zeros, so that rare words can't be learnt by heart.
 MIN_TEXTS = 6
-#: Toxic rows of a language in the held-out rows from which it has a threshold of its own.
+#: Toxic rows of a language, among those not trained on, from which it has a threshold of its own.
 MIN_TOXIC = 5
+#: Ranges of scores to 1 of a logit, for the running sums.
+RANGES = 256
 
 
 class Model:
@@ -184,20 +189,73 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(s[k] if k + 1 == len(s) else (s[k] + s[k + 1]) / 2)
 
 
-def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -> None:
-    model.common = best_threshold(scores, labels)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        n = int(labels[own].sum())
-        if n and n < own.sum():
-            share = min(1.0, n / MIN_TOXIC)
-            model.thresholds[lang] = share * best_threshold(scores[own], labels[own]) + (1 - share) * model.common
+def raw_scores(docs: DataFrame, model: Model, trained: list[str]) -> DataFrame:
+    """(doc_id, lang, score, fresh) of the rows with a token: the logit, and whether the text isn't one of trained."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, {_digest(x) for x in trained}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = shared.value
+        tables, table = own.tables(), own.rows()
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                found, firsts = words(batch.column("text"))
+                value = logits(own, tables, table[found], firsts)
+                fresh = [x is not None and _digest(x) not in known for x in batch.column("text").to_pylist()]
+                out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(value), pa.array(fresh, pa.bool_())], ["doc_id", "lang", "score", "fresh"])
+                yield out.filter(pa.array(~np.isnan(value)))
+
+    kinds = [docs.schema["doc_id"], docs.schema["lang"], T.StructField("score", T.FloatType()), T.StructField("fresh", T.BooleanType())]
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, T.StructType(kinds))
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def best_thresholds(scored: DataFrame) -> dict[tuple[bool, str | None], tuple[int, int, float]]:
+    """best_threshold of scored (lang, score, toxic) for each language, at (False, language), and for all rows, at (True, None): (rows, toxic rows, threshold)."""
+    counts = scored.groupBy("lang", F.col("score").cast("double").alias("score"), F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("c"))
+    both = F.inline(F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("all"), F.col("lang").cast("string").alias("lang"))))
+    counts = counts.select("score", "toxic", "c", both).filter("all or lang is not null").groupBy("all", "lang", "score").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("toxic")).alias("hits"))
+    # a range of scores is short where scores are dense
+    counts = cut(counts.withColumn("part", F.floor(F.col("score") * RANGES)), "toxic-counts")
+    key = ["all", "lang"]
+    same = lambda a, b: (F.col(f"{a}.all") == F.col(f"{b}.all")) & F.col(f"{a}.lang").eqNullSafe(F.col(f"{b}.lang"))
+    parts = counts.groupBy(*key, "part").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    above = Window.partitionBy(*key).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*key, "part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hits")))
+    totals = counts.groupBy(*key).agg(F.sum("n").alias("rows"), F.sum("hits").alias("positive"))
+    inside = Window.partitionBy(*key, "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.select(*key, "part", "score", F.sum("n").over(inside).alias("n"), F.sum("hits").over(inside).alias("hits")).alias("a")
+    sums = sums.join(parts.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part"))).select("a.all", "a.lang", "score", (F.col("n") + F.col("n_above")).alias("n"), (F.col("hits") + F.col("hits_above")).alias("hits")).alias("a")
+    sums = sums.join(totals.alias("b"), same("a", "b"))
+    f1 = 2 * F.col("hits") / (F.col("n") + F.greatest(F.lit(1), F.col("positive")))
+    best = sums.groupBy("a.all", "a.lang", "rows", "positive").agg(F.max(F.struct(f1.alias("f1"), F.col("score"))).alias("best"))
+    best = best.select("all", "lang", "rows", "positive", F.col("best.score").alias("top")).alias("a")
+    below = counts.alias("b").join(F.broadcast(best), same("a", "b")).groupBy("a.all", "a.lang", "rows", "positive", "top").agg(F.max(F.when(F.col("b.score") < F.col("top"), F.col("b.score"))).alias("next"))
+    return {(r["all"], r.lang): (r.rows, r.positive, r.top if r.next is None else (r.top + r.next) / 2) for r in below.collect()}
+
+
+def calibrate(model: Model, scored: DataFrame) -> None:
+    """Thresholds from scored (lang, score, toxic: 0 or 1). Without a toxic and a clean row the common one is 0 and languages have none."""
+    found = best_thresholds(scored)
+    n, positive, model.common = found.get((True, None), (0, 0, 0.0))
+    if not 0 < positive < n:
+        model.common = 0.0
+        return
+    for (whole, lang), (n, positive, own) in sorted(found.items(), key=str):
+        if not whole and 0 < positive < n:
+            share = min(1.0, positive / MIN_TOXIC)
+            model.thresholds[lang] = share * own + (1 - share) * model.common
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING) -> list:
     """At most max_rows labelled rows (text, lang, toxic), chosen by the hash of their id."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    some = known_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     own = docs.select("doc_id", "text", "lang").filter("text is not null").join(F.broadcast(some), "doc_id")
     return own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).collect()
 
@@ -208,17 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING) -> Mod
     rows = [r for r in rows if not (r.text in seen or seen.add(r.text))]  # no copy of a training text is held out
     if len({int(r.toxic > 0) for r in rows}) < 2:
         return None
-    held = [k for k in range(len(rows)) if k % 4 == 3] if len(rows) >= 40 else list(range(len(rows)))
-    rest = sorted(set(range(len(rows))) - set(held)) or held
-    model = train([rows[k].text for k in rest], [int(rows[k].toxic > 0) for k in rest])
-    y = np.array([int(rows[k].toxic > 0) for k in held], np.int64)
-    tables, table = model.tables(), model.rows()
-    scores = np.array([logits(model, tables, table[h], f)[0] for h, f in (words(pa.array([rows[k].text])) for k in held)])
-    fine = ~np.isnan(scores)
-    if not 0 < y[fine].sum() < fine.sum():
-        model.common = 0.0
-        return model
-    calibrate(model, scores[fine], y[fine], [rows[k].lang for k, ok in zip(held, fine) if ok])
+    rest = [r for k, r in enumerate(rows) if k % 4 != 3] if len(rows) >= 40 else rows
+    model = train([r.text for r in rest], [int(r.toxic > 0) for r in rest])
+    scored = raw_scores(docs, model, [r.text for r in rest] if len(rows) >= 40 else [])
+    calibrate(model, scored.filter("fresh").join(known_labels(labels), "doc_id").select("lang", "score", (F.col("toxic") > 0).cast("int").alias("toxic")))
     return model
 
 
