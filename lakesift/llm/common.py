@@ -64,12 +64,25 @@ def forget(df: DataFrame, folder: str) -> None:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df such that its rows have the same numbers (monotonically_increasing_id) whenever they are computed: as it is, if it is a scan and
-    projections; else written first, since shuffles and samples may order rows anew."""
+    """df such that it has the same rows whenever it is computed: as it is, if it is a scan and projections; else written first, since
+    shuffles and samples may choose or order rows anew. Their numbers (monotonically_increasing_id) may still differ from job to job: see numbered."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     return cut(df, "stable") if any(x in plan for x in ("Exchange", "Sample", "InMemoryTableScan", "Adaptive", "Window", "Join")) else df
 
 
+def numbered(df: DataFrame, name: str, folder: str) -> DataFrame:
+    """df with numbers of its rows under this name, written with them once: numbers of a scan depend on the cores alive, so none may be computed again in another job."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), folder)
+
+
+def keyed(df: DataFrame, id_col: str, name: str, folder: str) -> DataFrame:
+    """df with a key of each row under this name that is the same in all jobs: the id, if ids are whole numbers, unique and not null; else a number, see numbered."""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return numbered(df, name, folder)
+    twice = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    return numbered(df, name, folder) if twice.head(1) else df.withColumn(name, F.col(id_col).cast("bigint"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = x ^ (x >> np.uint64(32))

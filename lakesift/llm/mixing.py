@@ -3,8 +3,8 @@ linear between them. Its integral W(u) times the total is the source's cumulativ
 each document's cumulative tokens, which gives the document's training position; documents are range-sorted by position.
 
 Cumulative tokens come in two steps, so that a hot source isn't one task: sums by source and hash bucket, then a running sum inside each
-bucket. Only (row number, source, tokens, hash) moves for that; the text moves once, in the final sort, where the positions can be broadcast
-(MAX_BROADCAST bytes of them at most; beyond it they are joined).
+bucket. Only (key, source, tokens, hash) moves for that; the text moves once, in the final sort, where the positions can be broadcast
+(MAX_BROADCAST bytes of them at most; beyond it they are joined). A row's key is its id if ids are unique; if not, a number that is written with the table.
 
 The weights at a knot are scaled to sum 1. The total is the least at which each source's whole supply is used, unless it is given:
 no document is left out then, and sources that the schedule wants more of are read again, in further epochs.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import cut, stable
+from lakesift.llm.common import cut, keyed, stable
 
 #: At the end of training a source's weight is its share of tokens to this power, scaled to sum 1; at the start it is the share itself.
 TEMPER, SEED, MAX_BROADCAST = 0.7, 17, 64 << 20
@@ -56,7 +56,7 @@ def demands(schedule: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, total: int | None = None, text: str = "text", source: str = "source", id_col: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs in the order of their position, with n_tokens, epoch (from 0) and position (in [0, 1]); see above. Every source needs knots at 0 and 1."""
-    docs = stable(docs).drop("n_tokens", "epoch", "position").withColumn("_mx_row", F.monotonically_increasing_id())
+    docs = keyed(stable(docs).drop("n_tokens", "epoch", "position"), id_col, "_mx_row", "mix-numbered")
     order = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     narrow = docs.select("_mx_row", F.col(source).alias("source"), F.col(id_col).alias("_mx_id"), order.alias("h"), tokens(F.col(text)).alias("n_tokens"))
     narrow = cut(narrow.withColumn("bucket", F.substring("h", 1, 3)), "mix-tokens")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesift.llm.common import components, cut, gram_hashes, lowered, mix, pieces, stable, token_hashes
+from lakesift.llm.common import components, cut, gram_hashes, keyed, lowered, mix, pieces, stable, token_hashes
 
 #: Words in a gram; least Jaccard similarity; k's share of a set's size; cells of the counting table; bytes of row numbers to broadcast at most.
 N, THRESHOLD, SHARE, CELLS, MAX_BROADCAST = 3, 0.6, 0.05, 1 << 20, 64 << 20
@@ -401,9 +401,17 @@ def links(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> tuple[Da
     return points, inside.unionByName(across)
 
 
+def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    return keyed(stable(docs.drop("_nj_row")), id_col, "_nj_row", "ngram-numbered")
+
+
 def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(_nj_row, _nj_id, _nj_group, n_docs, _nj_rank) of the rows in groups of two or more; rank 1 is the one that stays, and its id is the group's."""
-    points, found = links(stable(docs).withColumn("_nj_row", F.monotonically_increasing_id()), text, id_col, n, t)
+    return _groups(_keyed(docs, id_col), text, id_col, n, t)
+
+
+def _groups(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> DataFrame:
+    points, found = links(docs, text, id_col, n, t)
     label = components(found)
     named = points.join(label, F.col("_nj_key") == F.col("node"), "left").withColumn("_nj_root", F.coalesce("label", "_nj_key"))
     crowd = named.groupBy("_nj_root").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
@@ -414,9 +422,8 @@ def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, t: float = THRESHOLD, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with one row of each group. Numbers of rows that go are broadcast up to a size; beyond it they are joined."""
-    docs = stable(docs)
-    gone = cut(groups(docs, text, id_col, n, t).filter("_nj_rank > 1").select("_nj_row"), "ngram-gone")
-    numbered = docs.withColumn("_nj_row", F.monotonically_increasing_id())
+    numbered = _keyed(docs, id_col)
+    gone = cut(_groups(numbered, text, id_col, n, t).filter("_nj_rank > 1").select("_nj_row"), "ngram-gone")
     if gone.count() * 32 > max_broadcast:  # as much as a number takes in a broadcast
         return numbered.join(gone, "_nj_row", "left_anti").drop("_nj_row")
     return numbered.join(F.broadcast(gone), "_nj_row", "left_anti").drop("_nj_row")
