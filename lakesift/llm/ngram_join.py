@@ -10,10 +10,13 @@ both windows. k grows with the set (SHARE), so a pair must meet in k regions bef
 2. Windows go to hash buckets, packed. Regions with two points or more stay.
 3. Neighbours in a region that meet k times make clusters: connected components. Pairs of one cluster are settled inside it, all others
    that meet as often as their sizes demand (_least_meetings) one by one, on the whole sets.
-4. Inside a cluster, document pivots: the pivot's distances to all are exact; its ball (d <= r) is one group; what lies outside it recurses; by the
-   triangle inequality only the window d(y) <= r + max d(x) of those outside can touch the ball, and only boundary members d(x) >= min d(y) - r are held against it.
+4. A cluster of more than BLOCK points is cut by document pivots, level by level: members of it chosen by hash. A point is at home in the Voronoi region of the nearest pivot if it
+   is within r of it; by the triangle inequality it must also be seen, as a guest, by regions j with d(x, p_j) <= radius_j + r, and by no others. Points at home
+   nowhere go on to the next level, with other pivots. A region (or a rest after LEVELS levels) that is still larger is compared in tiles, so that no task gets more than two of them.
+5. In a region all pairs are compared exactly, by one product of its incidence matrix.
 
-The result is exact: the connected components of all pairs with Jaccard >= t. (Keys and grams are 64-bit hashes.)
+The result is exact: all pairs with Jaccard >= t are found, counted as links of both, and their connected components are the groups. (Keys and grams are 64-bit hashes.)
+Links are counted, not listed: copies of a set count as links, but aren't expanded.
 
 Defined cases: a null text, and one without a token, has no grams and is in no group. A text of fewer than n tokens is one gram. Rows that repeat
 are copies of each other; the one with the least id (null last), then the first in the table, stays. An empty table has no groups. Extra columns stay;
@@ -26,14 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesift.llm.common import components, cut, gram_hashes, keyed, lowered, mix, pieces, stable, token_hashes
+from lakesift.llm.common import SEPARATORS_RE, TOKEN_RE, components, cut, gram_hashes, keyed, lowered, mix, pieces, stable, token_hashes
 
 #: Words in a gram; least Jaccard similarity; k's share of a set's size; cells of the counting table; bytes of row numbers to broadcast at most.
 N, THRESHOLD, SHARE, CELLS, MAX_BROADCAST = 3, 0.6, 0.05, 1 << 20, 64 << 20
+#: Points of a region, and grams of them, that a task compares with each other or with as many of another tile; pivots of a cluster in a level, about; levels.
+BLOCK, BLOCK_GRAMS, PIVOTS, LEVELS = 1000, 4_000_000, 64, 6
 _SLICES = 16
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -137,19 +142,26 @@ def _ranks(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return own.astype(np.uint8), np.clip(6 * np.log2(np.maximum(1, words)), 0, 199).astype(np.uint8)
 
 
+def _once(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of keys come for the first time in this task, the keys seen by now): a hot text's copies count once a task."""
+    new, first = np.unique(keys, return_index=True)
+    fresh = ~np.isin(new, seen)
+    once = np.zeros(len(keys), np.bool_)
+    once[first[fresh]] = True
+    return once, np.concatenate([seen, new[fresh]])
+
+
 def _windows(docs: DataFrame, text: str, n: int, t: float, ranks, buckets: int) -> DataFrame:
     """Packed windows: bucket, and for each entry the region (32 bits of the gram besides the bucket), the point's key and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = ranks.value
+        order, seen = ranks.value, np.zeros(0, np.uint64)
         for whole in batches:
             held: list[tuple] = []
             for batch in pieces(whole, text):
                 grams, at, keys, rank = _sets(batch, text, n, order)
                 size = np.diff(at)
-                _, first = np.unique(keys, return_index=True)
-                once = np.zeros(len(keys), np.bool_)
-                once[first] = True
+                once, seen = _once(keys, seen)
                 row = np.repeat(np.arange(len(size)), size)
                 grams, rank, row = grams[once[row]], rank[once[row]], row[once[row]]
                 spot = (row.astype(np.uint64) << np.uint64(40)) | (rank.astype(np.uint64) << np.uint64(32)) | (mix(grams) & np.uint64(0xFFFFFFFF))
@@ -299,16 +311,18 @@ def _clustered(regions: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _gram_sets(docs: DataFrame, text: str, n: int, keys: DataFrame) -> DataFrame:
-    """(key, cluster, grams) of the points in keys (key, cluster), as often as rows have them. keys are broadcast up to a size; beyond it they are joined."""
+    """(key, cluster, grams) of the points in keys (key, cluster), once each. keys are broadcast up to a size; beyond it they are joined."""
     small = _small(keys)
     own = docs.sparkSession.sparkContext.broadcast(small) if small is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for whole in batches:
             for batch in pieces(whole, text):
                 grams, at, found = _sets(batch, text, n)
+                keep, seen = _once(found, seen)
                 found = found.view(np.int64)
-                keep, cluster = np.isin(np.arange(len(found)), np.unique(found, return_index=True)[1]) & (found != 0), np.zeros(len(found), np.int64)
+                keep, cluster = keep & (found != 0), np.zeros(len(found), np.int64)
                 if own is not None:
                     names, labels = own.value
                     spot = np.minimum(np.searchsorted(names, found), max(0, len(names) - 1))
@@ -319,52 +333,126 @@ def _gram_sets(docs: DataFrame, text: str, n: int, keys: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(found[which]), pa.array(cluster[which]), sets], ["key", "cluster", "grams"])
 
     found = docs.select(text).mapInArrow(run, "key long, cluster long, grams binary")
-    return found if own is not None else found.drop("cluster").join(keys, "key")
-
-
-def ball_groups(sets: list[np.ndarray], t: float) -> list[tuple[int, int]]:
-    """Links (i, j) whose components are those of all pairs with Jaccard >= t: pivots, balls and windows. Each set is ascending and distinct."""
-    r, eps = 1 - t, 1e-9
-    size = np.array([len(s) for s in sets], np.int64)
-    grams = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    _, grams = np.unique(grams, return_inverse=True)
-    at = np.r_[0, np.cumsum(size)]
-    mark = np.zeros(int(grams.max()) + 1 if len(grams) else 1, np.bool_)
-
-    def distances(p: int, of: np.ndarray) -> np.ndarray:
-        mine = grams[at[p] : at[p + 1]]
-        mark[mine] = True
-        many = size[of]
-        index = np.arange(many.sum()) + np.repeat(at[of] - np.r_[0, np.cumsum(many)[:-1]], many)
-        shared = np.add.reduceat(mark[grams[index]].astype(np.int64), np.r_[0, np.cumsum(many)[:-1]])
-        mark[mine] = False
-        return 1 - _jaccard(shared, size[p], many)
-
-    links: list[tuple[int, int]] = []
-    rest = np.lexsort((np.arange(len(sets)), size)) if len(sets) else np.zeros(0, np.int64)
-    while len(rest) > 1:
-        p, others = rest[len(rest) // 2], np.delete(rest, len(rest) // 2)
-        fits = np.minimum(size[others], size[p]) >= t * np.maximum(size[others], size[p]) - eps
-        d = np.full(len(others), 2.0)
-        d[fits] = distances(p, others[fits]) if fits.any() else 0
-        ball, out = others[d <= r + eps], others[d > r + eps]
-        links += [(int(p), int(x)) for x in ball]
-        if len(ball) and len(out):
-            d_all = np.r_[d[d <= r + eps], 0.0]
-            members = np.r_[ball, p]
-            far = distances(p, out)
-            window, dw = out[far <= d_all.max() + r + eps], far[far <= d_all.max() + r + eps]
-            for y, dy in zip(window, dw):
-                edge = members[d_all >= dy - r - eps]
-                if len(edge):
-                    hit = edge[distances(y, edge) <= r + eps]
-                    links += [(int(hit[0]), int(y))] if len(hit) else []
-        rest = out
-    return links
-
-
-def links(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> tuple[DataFrame, DataFrame]:
-    """(points, links): each row's number, id and key; links of keys whose components are the groups."""
+    once = found.groupBy("key").agg(F.first("cluster").alias("cluster"), F.first("grams").alias("grams"))
+    return once if own is not None else once.drop("cluster").join(keys, "key")
+
+
+def shared_grams(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """(rows, columns): grams in common of the sets at these places, by products of slices of their incidence matrix. Grams of one set alone are left out."""
+    size = np.array([len(x) for x in sets], np.int64)
+    names, gram, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(often > 1)
+    place = np.full(len(names), -1, np.int64)
+    place[common] = np.arange(len(common))
+    at, row = place[gram], np.repeat(np.arange(len(sets)), size)
+    by = np.argsort(at, kind="stable")
+    at, row = at[by], row[by]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for lo in range(0, len(common), 4096):
+        part = slice(*np.searchsorted(at, (lo, lo + 4096)))
+        dense = np.zeros((len(sets), min(4096, len(common) - lo)), np.float32)
+        dense[row[part], at[part] - lo] = 1
+        out += dense[rows] @ dense[columns].T
+    return out
+
+
+def settle(table: pa.Table, t: float) -> pa.Table:
+    """(key, root, links): for each point with a link in this tile or pair of tiles, a point of its component here, and how many documents it is linked with. Guests aren't held against guests."""
+    key, weight, home, tile = (table.column(c).to_numpy() for c in ("key", "n", "home", "tile"))
+    grams = table.column("grams").combine_chunks()
+    sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in range(len(key))]
+    size = np.array([len(x) for x in sets], np.float64)
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    rows, columns, apart = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi), lo != hi
+    overlap = shared_grams(sets, rows, columns)
+    near = _jaccard(overlap, size[rows][:, None], size[columns][None]) >= t - 1e-9
+    near &= home[rows][:, None] | home[columns][None]
+    if not apart:
+        np.fill_diagonal(near, False)
+    links = np.zeros(len(key), np.int64)
+    links[rows] += near @ weight[columns]
+    if apart:
+        links[columns] += near.T @ weight[rows]
+    i, j = np.nonzero(near)
+    root = np.arange(len(key))
+    while len(i):  # the least place spreads
+        least = np.minimum(root[rows[i]], root[columns[j]])
+        before = root.copy()
+        np.minimum.at(root, rows[i], least)
+        np.minimum.at(root, columns[j], least)
+        root = root[root]
+        if (root == before).all():
+            break
+    has = np.flatnonzero(links)
+    return pa.table({"key": key[has], "root": key[root[has]], "links": links[has]})
+
+
+def nearest(members: pa.Table, pivots: pa.Table, t: float) -> pa.Table:
+    """members (cluster, key, n, grams) with at_home (the place of the nearest pivot if it is within the radius, else -1), its distance, and near: the other pivots within twice the radius and their distances."""
+    r, names = 1 - t + 1e-9, ["cluster", "key", "n", "grams"]
+    pivots = pivots.sort_by("pivot_key")
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for column in (members.column("grams"), pivots.column("pivot_grams")) for x in column]
+    size, m = np.array([len(x) for x in sets], np.float64), members.num_rows
+    d = 1 - _jaccard(shared_grams(sets, np.arange(m), np.arange(m, len(sets))), size[:m, None], size[None, m:])
+    best = d.argmin(1)
+    least = d[np.arange(m), best]
+    home = np.where(least <= r, best, -1)
+    near = (d <= 2 * r) & (np.arange(d.shape[1])[None] != home[:, None])
+    off = pa.array(np.r_[0, np.cumsum(near.sum(1))].astype(np.int32))
+    place = pa.array(np.nonzero(near)[1].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(off, x) for x in (place, pa.array(d[near]))]
+    return pa.table([*(members.column(c) for c in names), pa.array(home.astype(np.int32)), pa.array(least), *lists], [*names, "at_home", "distance", "places", "distances"])
+
+
+def _parts(sets: DataFrame, t: float) -> DataFrame:
+    """(region, level, key, n, grams, home) of sets (cluster, key, n, grams): clusters of up to BLOCK points as they are, larger ones cut by pivots; see above."""
+    r = 1 - t + 1e-9
+    out = ["region", "level", "key", "n", "grams", "home"]
+    counts = cut(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("points"), F.min("key").alias("least")).filter(F.col("points") > BLOCK), "ngram-large")
+    whole = lambda df, level: df.select(F.col("cluster").alias("region"), F.lit(level).alias("level"), "key", "n", "grams", F.lit(True).alias("home"))
+    if not counts.head(1):
+        return whole(sets, -1)
+    done = whole(sets.join(counts, "cluster", "left_anti"), -1)
+    rest = cut(sets.join(counts.select("cluster"), "cluster", "left_semi"), "ngram-rest")
+    for level in range(LEVELS):
+        one_in = F.greatest(F.lit(1), F.floor(F.col("points") / PIVOTS))
+        salts = counts.withColumn("salts", F.ceil(F.col("points") / BLOCK).cast("int"))
+        named = rest.join(salts, "cluster")
+        pivots = named.filter((F.col("key") == F.col("least")) | (F.pmod(F.xxhash64("key", F.lit(level)), one_in) == 0))
+        pivots = pivots.select(*(F.col(c).alias(f"pivot_{c}") for c in ("cluster", "key", "grams")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("pivot_salt")).groupBy("pivot_cluster", "pivot_salt")
+        members = named.select("cluster", "key", "n", "grams", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt")).groupBy("cluster", "salt")
+        found = members.cogroup(pivots).applyInArrow(lambda x, y: nearest(x, y, t), "cluster long, key long, n long, grams binary, at_home int, distance double, places array<int>, distances array<double>")
+        held = cut(found, "ngram-homes")
+        at_home = held.filter("at_home >= 0")
+        radius = at_home.groupBy("cluster", F.col("at_home").alias("place")).agg(F.max("distance").alias("radius"))
+        number = lambda place: F.xxhash64("cluster", place)
+        guest = held.select("cluster", "key", "n", "grams", "at_home", F.inline(F.arrays_zip("places", "distances"))).withColumnsRenamed({"places": "place", "distances": "d"}).filter("at_home < 0 or place < at_home")
+        guest = guest.join(radius, ["cluster", "place"]).filter(F.col("d") <= F.col("radius") + r)
+        done = done.unionByName(at_home.select(number("at_home").alias("region"), F.lit(level).alias("level"), "key", "n", "grams", F.lit(True).alias("home")))
+        done = done.unionByName(guest.select(number("place").alias("region"), F.lit(level).alias("level"), "key", "n", "grams", F.lit(False).alias("home")))
+        rest = held.filter("at_home < 0").select("cluster", "key", "n", "grams")
+        counts = cut(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("points"), F.min("key").alias("least")).filter(F.col("points") > BLOCK), "ngram-large")
+        if not counts.head(1):
+            break
+        done = done.unionByName(whole(rest.join(counts, "cluster", "left_anti"), LEVELS + level))
+        rest = rest.join(counts.select("cluster"), "cluster", "left_semi")
+    return done.unionByName(whole(rest, 2 * LEVELS)).select(*out)
+
+
+def _inside(sets: DataFrame, t: float) -> DataFrame:
+    """(key, root, links) of all pairs inside clusters: each region in one task, or in tiles if it has more than BLOCK points or BLOCK_GRAMS grams."""
+    parts = _parts(sets, t)
+    sizes = parts.groupBy("region", "level").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("grams")) / (8 * BLOCK_GRAMS))).cast("int").alias("tiles")).filter("tiles > 1")
+    parts = parts.join(sizes, ["region", "level"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    parts = parts.select("region", "level", "key", "n", "grams", "home", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    parts = parts.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
+    return parts.groupBy("region", "level", "lo", "hi").applyInArrow(lambda table: settle(table, t), "key long, root long, links long")
+
+
+def links(docs: DataFrame, text: str, id_col: str, n: int, t: float, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(points, links): each row's number, id and key; (key, root, links), one row or more for each key with a link: root is a key of the same group, links sum up to the documents
+    it is linked with (weighted) or the keys."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = cut(_scan(docs, text, id_col, n), "ngram-scan")
@@ -374,16 +462,16 @@ def links(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> tuple[Da
     small = _small(clusters)
     others = cut(_meetings(regions, t, small) if small is not None else _meetings(_clustered(regions, clusters), t), "ngram-pairs")
     apart = others.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    keys = clusters.select("key", "cluster").unionByName(apart.join(clusters, "key", "left_anti").withColumn("cluster", F.lit(0).cast("long")))
-    sets = cut(_gram_sets(docs, text, n, cut(keys, "ngram-keys")), "ngram-sets")
-    needed = sets.join(apart, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
-
-    def settle(table: pa.Table) -> pa.Table:
-        own, first = np.unique(table.column("key").to_numpy(), return_index=True)
-        sets = table.column("grams").combine_chunks()
-        found = ball_groups([np.frombuffer(sets[i].as_buffer(), np.uint64) for i in map(int, first)], t)
-        a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.table({"a": own[a], "b": own[b]})
+    keys = cut(clusters.select("key", "cluster").unionByName(apart.join(clusters, "key", "left_anti").withColumn("cluster", F.lit(0).cast("long"))), "ngram-keys")
+    points = scan.filter("slice is null and _nj_key <> 0").select("_nj_row", "_nj_id", "_nj_key")
+    sets = _gram_sets(docs, text, n, keys)
+    if weighted:
+        crowd = points.groupBy(F.col("_nj_key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        sets = sets.join(crowd, "key")
+    else:
+        sets = sets.withColumn("n", F.lit(1).cast("long"))
+    sets = cut(sets, "ngram-sets")
+    needed = sets.join(apart, "key", "left_semi").select("key", "n", "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,14 +479,14 @@ def links(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> tuple[Da
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(1 - both / max(1, len(x) + len(y) - both) <= 1 - t + 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(both / max(1, len(x) + len(y) - both) >= t - 1e-9)
+            yield batch.select(["a", "b", "m", "n"]).filter(pa.array(keep, pa.bool_()))
 
-    inside = sets.filter("cluster <> 0").select("cluster", "key", "grams").groupBy("cluster").applyInArrow(settle, "a long, b long")
-    get = lambda k, v: needed.select(F.col("key").alias(k), F.col("grams").alias(v))
-    across = others.join(get("a", "x"), "a").join(get("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    points = scan.filter("slice is null and _nj_key <> 0").select("_nj_row", "_nj_id", "_nj_key")
-    return points, inside.unionByName(across)
+    inside = _inside(sets.filter("cluster <> 0"), t)
+    get = lambda k, v, w: needed.select(F.col("key").alias(k), F.col("grams").alias(v), F.col("n").alias(w))
+    across = others.join(get("a", "x", "m"), "a").join(get("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n").mapInArrow(verify, "a long, b long, m long, n long")
+    ends = F.inline(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("root"), F.col("n").alias("links")), F.struct(F.col("b").alias("key"), F.col("a").alias("root"), F.col("m").alias("links"))))
+    return points, cut(inside.unionByName(across.select(ends)), "ngram-links")
 
 
 def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
@@ -406,24 +494,30 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(_nj_row, _nj_id, _nj_group, n_docs, _nj_rank) of the rows in groups of two or more; rank 1 is the one that stays, and its id is the group's."""
-    return _groups(_keyed(docs, id_col), text, id_col, n, t)
+    """(_nj_row, _nj_id, _nj_group, n_docs, n_links, _nj_stays) of the rows in groups of two or more; the one that stays gives the group its id. n_links: other rows within the radius."""
+    docs = _keyed(docs, id_col)
+    points, found = links(docs, text, id_col, n, t)
+    grouped = _groups(points, found)
+    degree = found.groupBy("key").agg(F.sum("links").alias("links"))
+    own = points.groupBy("_nj_key").agg((F.count(F.lit(1)) - 1).alias("equal")).join(degree, F.col("_nj_key") == F.col("key"), "left").drop("key")
+    return grouped.join(own, "_nj_key").withColumn("n_links", F.col("equal") + F.coalesce("links", F.lit(0))).drop("_nj_key", "equal", "links")
 
 
-def _groups(docs: DataFrame, text: str, id_col: str, n: int, t: float) -> DataFrame:
-    points, found = links(docs, text, id_col, n, t)
-    label = components(found)
-    named = points.join(label, F.col("_nj_key") == F.col("node"), "left").withColumn("_nj_root", F.coalesce("label", "_nj_key"))
-    crowd = named.groupBy("_nj_root").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
-    w = Window.partitionBy("_nj_root").orderBy(F.col("_nj_id").asc_nulls_last(), "_nj_row")
-    ranked = named.join(crowd, "_nj_root").withColumn("_nj_rank", F.row_number().over(w)).withColumn("_nj_group", F.first("_nj_id").over(w))
-    return ranked.select("_nj_row", "_nj_id", "_nj_group", "n_docs", "_nj_rank")
+def _groups(points: DataFrame, found: DataFrame) -> DataFrame:
+    label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    # first by key, then by group, so that neither a text that repeats nor a large group is one task
+    place = F.struct(F.col("_nj_id").isNull().alias("none"), F.col("_nj_id").alias("id"), F.col("_nj_row").alias("row"))
+    by_key = points.groupBy("_nj_key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).join(label, F.col("_nj_key") == F.col("node"), "left")
+    by_key = by_key.select("_nj_key", "n", "first", F.coalesce("label", "_nj_key").alias("_nj_root"))
+    crowd = by_key.groupBy("_nj_root").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter("n_docs > 1")
+    named = points.join(by_key.select("_nj_key", "_nj_root").join(crowd, "_nj_root"), "_nj_key")
+    return named.select("_nj_row", "_nj_id", "_nj_key", F.col("first.id").alias("_nj_group"), "n_docs", (F.col("_nj_row") == F.col("first.row")).alias("_nj_stays"))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, t: float = THRESHOLD, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with one row of each group. Numbers of rows that go are broadcast up to a size; beyond it they are joined."""
     numbered = _keyed(docs, id_col)
-    gone = cut(_groups(numbered, text, id_col, n, t).filter("_nj_rank > 1").select("_nj_row"), "ngram-gone")
+    gone = cut(_groups(*links(numbered, text, id_col, n, t, weighted=False)).filter("not _nj_stays").select("_nj_row"), "ngram-gone")
     if gone.count() * 32 > max_broadcast:  # as much as a number takes in a broadcast
         return numbered.join(gone, "_nj_row", "left_anti").drop("_nj_row")
     return numbered.join(F.broadcast(gone), "_nj_row", "left_anti").drop("_nj_row")
@@ -431,4 +525,18 @@ def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n:
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return groups(docs).select(F.col("_nj_id").alias("doc_id"), F.col("_nj_group").alias("group_id"), F.col("n_docs").cast("bigint").alias("n_docs"))
+    return groups(docs).select(F.col("_nj_id").alias("doc_id"), F.col("_nj_group").alias("group_id"), F.col("n_docs").cast("bigint").alias("n_docs"), F.col("n_links").cast("bigint").alias("n_links"))
+
+
+#: All pairs that share a gram, and their components by reachability: over documents (doc_id, text), doc_id unique.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '{SEPARATORS_RE}', ' ', 'g'), '{TOKEN_RE}') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda k: array_to_string(w[k:k + {N - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS gram FROM d),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE shared >= {THRESHOLD} * (a.n + b.n - shared) - 1e-9),
+l AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT DISTINCT x AS n, x AS m FROM l UNION SELECT r.n, l.y FROM r JOIN l ON l.x = r.m),
+c AS (SELECT n AS doc_id, min(m) AS group_id, count(*) AS n_docs FROM r GROUP BY n)
+SELECT c.doc_id, group_id, n_docs, count(*) AS n_links FROM c JOIN l ON l.x = c.doc_id GROUP BY ALL
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_join": ngram_join.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,

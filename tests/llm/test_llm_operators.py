@@ -69,7 +69,9 @@ def noisy_corpus(seed, n_base, copies, vocabulary=400):
 def test_jaccard_join_is_exact(spark, seed, t, n):
     rows = noisy_corpus(seed, 40, 6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found_groups(ngram_join.groups(df, n=n, t=t)) == expected_groups(rows, t, n)
+    found = ngram_join.groups(df, n=n, t=t)
+    assert found_groups(found) == expected_groups(rows, t, n)
+    assert {r._nj_id: r.n_links for r in found.collect()} == brute_links(rows, t, n)
 
 
 def test_jaccard_join_without_broadcast(spark, monkeypatch):
@@ -87,26 +89,62 @@ def test_jaccard_join_on_documents(spark, sf_dir):
     assert found_groups(ngram_join.groups(df)) == expected_groups(rows) != set()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=9), min_size=0, max_size=14), st.sampled_from([0.3, 0.5, 0.6, 0.8]))
-def test_ball_groups(sets, t):
-    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+def roots(n, links):
+    parent = list(range(n))
 
-    def roots(links):
-        parent = list(range(len(sets)))
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
-        def find(i):
-            while parent[i] != i:
-                i = parent[i]
-            return i
+    for i, j in links:
+        p, q = sorted((find(i), find(j)))
+        parent[q] = p
+    return [find(i) for i in range(n)]
 
-        for i, j in links:
-            p, q = sorted((find(i), find(j)))
-            parent[q] = p
-        return [find(i) for i in range(len(sets))]
 
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= (t - 1e-9) * len(sets[i] | sets[j])]
-    assert roots(ngram_join.ball_groups(arrays, t)) == roots(pairs)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), min_size=1, max_size=9), st.booleans(), st.integers(0, 1), st.integers(1, 4)), min_size=1, max_size=14), st.sampled_from([0.3, 0.5, 0.6, 0.8]))
+def test_settle(points, t):
+    """A tile, or two of them, against all pairs."""
+    sets, home, tile, weight = zip(*points)
+    apart, tile = len(set(tile)) == 2, tile if len(set(tile)) == 2 else (0,) * len(tile)
+    table = pa.table({"lo": pa.array([0] * len(tile), pa.int32()), "hi": pa.array([int(apart)] * len(tile), pa.int32()), "key": pa.array(range(len(sets)), pa.int64()), "n": pa.array(weight, pa.int64()), "home": pa.array(home), "tile": pa.array(tile, pa.int32()), "grams": pa.array([np.array(sorted(s), np.uint64).tobytes() for s in sets], pa.binary())})
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (home[i] or home[j]) and (not apart or tile[i] != tile[j]) and len(sets[i] & sets[j]) >= (t - 1e-9) * len(sets[i] | sets[j])]
+    got = ngram_join.settle(table, t).to_pylist()
+    want = {}
+    for i, j in pairs:
+        want[i], want[j] = want.get(i, 0) + weight[j], want.get(j, 0) + weight[i]
+    assert {r["key"]: r["links"] for r in got} == want
+    assert roots(len(sets), [(r["key"], r["root"]) for r in got]) == roots(len(sets), pairs)
+
+
+@pytest.mark.parametrize("block,grams", [(5, 4_000_000), (12, 4_000_000), (1000, 60)])
+def test_large_clusters_are_cut_by_pivots(spark, monkeypatch, block, grams):
+    """Groups far above BLOCK: pivots, balls, guests, tiles give the links and groups of all pairs."""
+    for name, value in (("BLOCK", block), ("BLOCK_GRAMS", grams), ("PIVOTS", 3), ("LEVELS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(9)
+    rows = noisy_corpus(7, 6, 4)
+    chain = [f"c{k}" for k in range(400)]
+    rows += [(1000 + k, " ".join(chain[3 * k : 3 * k + 30])) for k in range(60)]  # a long chain: neighbours are similar, ends are not
+    base = [f"b{k}" for k in range(60)]
+    rows += [(2000 + k, " ".join(w if rng.random() > 0.04 else f"x{rng.randrange(5)}" for w in base)) for k in range(60)]
+    rows += [(3000, rows[-1][1]), (3001, rows[-1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.groups(df)
+    assert found_groups(found) == expected_groups(rows)
+    assert {r._nj_id: r.n_links for r in found.collect()} == brute_links(rows)
+
+
+def brute_links(rows, t=0.6, n=3):
+    """{id: rows within the radius} of the rows that have any."""
+    sets, out = [grams(x, n) for _, x in rows], {}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= (t - 1e-9) * len(sets[i] | sets[j]):
+            for k in (i, j):
+                out[rows[k][0]] = out.get(rows[k][0], 0) + 1
+    return out
 
 
 @settings(max_examples=200, deadline=None)
