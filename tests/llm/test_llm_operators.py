@@ -267,24 +267,40 @@ def test_url_filter_propagates(spark):
     assert set(got) == {3, 4, 5, 6} and got[4].trust > 0.1 and got[3].host == "uni.edu"
 
 
-def rank_by_hand(edges, seeds, rounds=url_filters.ROUNDS, d=url_filters.DAMPING):
-    rank = {s: 1 - d for s in seeds}
-    for _ in range(rounds):
-        new = {s: 1 - d for s in seeds}
-        for a, b, n in edges:
-            if a in rank:
-                new[b] = new.get(b, 0) + d * rank[a] * n / sum(m for x, _, m in edges if x == a)
-        rank = new
-    return rank
-
-
-def test_propagation_against_loops(spark):
+def rank_by_hand(edges, seeds, d=url_filters.DAMPING):
+    """The limit, by solving the linear equations."""
+    hosts = sorted({x for a, b, _ in edges for x in (a, b)} | set(seeds))
+    at = {h: k for k, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in edges:
+        m[at[b], at[a]] += n / sum(x for y, _, x in edges if y == a)
+    start = np.array([(1 - d) * (h in seeds) for h in hosts])
+    rank = np.linalg.solve(np.eye(len(hosts)) - d * m, start)
+    return {h: rank[k] for h, k in at.items() if rank[k] > 0}
+
+
+@pytest.mark.parametrize("split", [100_000, 2])
+def test_propagation_against_equations(spark, monkeypatch, split):
+    """Both sides at once, ranks within the tolerance of the limit; a cycle, long chains, hosts that are split."""
+    monkeypatch.setattr(url_filters, "SPLIT", split)
     rng = random.Random(2)
     pairs = {(rng.randrange(20), rng.randrange(20)) for _ in range(60)}
-    edges = [(f"h{a}", f"h{b}", rng.randint(1, 4)) for a, b in pairs if a != b]
-    seeds = spark.createDataFrame([("h1",), ("h2",), ("h2",)], "host string")
-    got = {r.host: r["rank"] for r in url_filters.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds).collect()}
-    assert got == pytest.approx(rank_by_hand(edges, ["h1", "h2"]))
+    edges = [(f"h{a}", f"h{b}", rng.randint(1, 4)) for a, b in pairs if a != b] + [(f"c{k}", f"c{(k + 1) % 30}", 1) for k in range(30)] + [("h1", "c0", 5)]
+    table = spark.createDataFrame([("x", *e) for e in edges] + [("y", b, a, n) for a, b, n in edges], "side string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("x", "h1"), ("x", "h2"), ("x", "h2"), ("y", "c5")], "side string, host string")
+    ranks, rounds = url_filters.propagate(table, seeds)
+    got = {(r.side, r.host): r["rank"] for r in ranks.collect()}
+    want = {("x", h): v for h, v in rank_by_hand(edges, ["h1", "h2"]).items()} | {("y", h): v for h, v in rank_by_hand([(b, a, n) for a, b, n in edges], ["c5"]).items()}
+    assert rounds > 30 and {k for k, v in want.items() if v > 1e-3} <= set(got) <= set(want)
+    assert all(want[k] - 1e-9 <= v + url_filters.TOLERANCE and v <= want[k] + 1e-9 for k, v in got.items())
+
+
+def test_title_links(spark):
+    nav = lambda *labels: "<title>Own page</title><ul>" + "".join(f'<li><a href="/x">{x}</a></li>' for x in labels) + "</ul>"
+    rows = [(1, "http://a.example/1", nav("Big", "news")), (2, "http://a.example/2", nav("Big", "news")), (3, "http://b.example/", "<title>Big news today</title>"), (4, "http://b.example/2", "<title>Big news again</title>"),
+            (5, "http://aa.example/", "<title>Big news of aa</title>"), (6, "http://c.example/", nav("Own")), (7, None, nav("Big")), (8, "http://d.example/", None)]
+    got = {(r.src, r.dst, r.n) for r in url_filters.title_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {("a.example", "b.example", 2), ("c.example", "a.example", 1)}
 
 
 def test_mix_meets_the_schedule(spark):
