@@ -17,8 +17,8 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line passes the punctuation rule if it ends in punctuation (closing quotes and brackets may follow)...
-ENDS = "[.!?:;,\\x{2026}\\x{3002}][\"')\\]\\x{00BB}\\x{201D}\\x{2019}]*$"
+#: A line passes the punctuation rule if it ends in punctuation (any number of closing quotes and brackets may follow)...
+ENDS, CLOSERS = tuple(".!?:;,\u2026\u3002"), "\"')]\u00bb\u201d\u2019"
 #: ...or holds the end of a sentence, as a line does that is cut off in its last sentence...
 STOPS = (". ", "! ", "? ", "\u3002", "\u2026 ")
 #: ...and if at most this share of its characters are symbols or pairs of exclamation or question marks.
@@ -40,7 +40,7 @@ def line_ok(line: Column) -> Column:
     symbols = reduce(add, map(without, PAIRS), F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, "")))
     navigation = reduce(or_, (without(mark) >= n for mark, n in SEPARATORS))
     phrases = F.exists(F.array(F.lower(line)), lambda low: contains(low, BOILERPLATE) | ((F.length(line) <= LABEL_CHARS) & low.rlike(LABEL)))
-    return ~navigation & (F.right(line, F.lit(8)).rlike(ENDS) | contains(line, STOPS)) & (symbols <= MAX_SYMBOLS * F.length(line)) & ~phrases
+    return ~navigation & (F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1)).isin(*ENDS) | contains(line, STOPS)) & (symbols <= MAX_SYMBOLS * F.length(line)) & ~phrases
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -68,7 +68,7 @@ _Q = lambda s: "'" + s.replace("'", "''") + "'"
 
 _ANY = lambda x, parts: "(" + " OR ".join(f"contains({x}, {_Q(p)})" for p in parts) + ")"
 _N = lambda p: f"(length(x) - length(replace(x, {_Q(p)}, '')))"
-_OK = f"""NOT ({' OR '.join(f'{_N(m)} >= {n}' for m, n in SEPARATORS)}) AND (regexp_matches(right(x, 8), {_Q(ENDS)}) OR {_ANY('x', STOPS)})
+_OK = f"""NOT ({' OR '.join(f'{_N(m)} >= {n}' for m, n in SEPARATORS)}) AND (right(rtrim(x, {_Q(CLOSERS)}), 1) IN ({', '.join(map(_Q, ENDS))}) OR {_ANY('x', STOPS)})
  AND length(x) - length(regexp_replace(x, {_Q(SYMBOLS)}, '', 'g')) + {' + '.join(map(_N, PAIRS))} <= {MAX_SYMBOLS} * length(x)
  AND NOT ({_ANY('lower(x)', BOILERPLATE)} OR length(x) <= {LABEL_CHARS} AND regexp_matches(lower(x), {_Q(LABEL)}))"""
 

@@ -76,3 +76,10 @@ def test_stages(docs, spark, tmp_path, bench):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == table.columns and out.dtypes == table.dtypes
             out.collect()
+
+
+def test_any_number_of_closing_marks(spark):
+    """The punctuation rule looks past all closing quotes and brackets of a line."""
+    rows = [(1, "He said (and [they) wrote] it.)\"')]»”’)))))))))"), (2, "no end of a sentence\")))))))))))))"), (3, "\")]')")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in quality_rules.clean_lines(df).collect()] == [1]
