@@ -364,11 +364,27 @@ def test_markers_and_rendering(spark):
 
 
 def brute_licences(text):
-    w, out = words(text or "")[0], set()
-    for name, parts, at in license_scan.phrases(license_scan.TEMPLATES):
-        starts = [[k for k in range(len(w)) if w[k : k + len(p)] == p] for p in parts]
-        if any(all(any(s + lo <= q <= s + hi for q in more) for more, (lo, hi) in zip(starts[1:], at[1:])) for s in starts[0]):
-            out.add(name)
+    """{licence: (first place, places)} of notices, word by word."""
+    w, out = words(text or "")[0], {}
+    short = {k: x.split() for k, x in license_scan.UNVERSIONED.items()}
+    forms = [x.split() for (x, *_) in license_scan.TEMPLATES.values()] + list(short.values())
+    for name, *parts in [*((k, *v) for k, v in license_scan.TEMPLATES.items()), *((k, v) for k, v in license_scan.UNVERSIONED.items())]:
+        spots, gaps, gap = [], [], False
+        for p in parts:
+            if p == "...":
+                gap = True
+                continue
+            spots.append(([k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()], len(p.split())))
+            gaps.append(gap)
+        for start in spots[0][0]:
+            at = spots[0][1]
+            ok = name not in short or not any(len(f) > len(short[name]) and f[: len(short[name])] == short[name] and w[start : start + len(f)] == f for f in forms)
+            for (more, size), free in zip(spots[1:], gaps[1:]):
+                ok &= any(start + at <= q and (free or q <= start + at + license_scan.SLACK) for q in more)
+                at += size
+            if ok:
+                first, n = out.get(name, (start, 0))
+                out[name] = (min(first, start), n + 1)
     return out
 
 
@@ -381,16 +397,56 @@ def test_licences_against_brute_force(spark, sf_dir):
         for _ in range(rng.randint(0, 4)):
             text += [rng.choice(fill) for _ in range(rng.randint(0, 20))]
             for p in license_scan.TEMPLATES[rng.choice(list(license_scan.TEMPLATES))]:
-                text += [rng.choice(fill) for _ in range(rng.randint(0, 260))] if p == "..." else p.split() if rng.random() < 0.9 else p.split()[1:]
+                text += [rng.choice(fill) for _ in range(rng.choice([0, 100, 260, 3000]))] if p == "..." else p.split() if rng.random() < 0.9 else p.split()[1:]
                 text += [rng.choice(fill)] * rng.choice([0, 0, 1, 3, 20])
         rows.append((10**6 + k, " ".join(text)))
     got = {}
     for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got.setdefault(r.doc_id, set()).add(r.license)
+        if not r.license.endswith("-text"):
+            got.setdefault(r.doc_id, {})[r.license] = (r.first_token, r.n_places)
     want = {i: f for i, t in rows if (f := brute_licences(t))}
     assert got == want and len({x for v in want.values() for x in v}) > 12
 
 
+def brute_text(w, name, counts):
+    """Places of a whole text: for every place that an anchor predicts, all anchors are looked for."""
+    own, keys = words(license_scan.texts()[name][0])[0], license_scan.PHRASES[name]
+    at = [min(range(k, min(k + license_scan.SEGMENT, len(own))), key=lambda i: (counts[own[i]], i)) for k in range(0, len(own), license_scan.SEGMENT)]
+    drift, out = license_scan.SLACK + len(own) // 10, []
+    spots = {x: [k for k, y in enumerate(w) if y == x] for x in {own[i] for i in at}}
+    for p in sorted({q - i for i in at for q in spots[own[i]]}):
+        agree = sum(any(p <= q - i <= p + drift for q in spots[own[i]]) for i in at)
+        keyed = all(any(w[q : q + len(k.split())] == k.split() for q in range(max(0, p - drift), p + len(own) + drift + 1)) for k in keys)
+        if agree >= license_scan.MIN_SHARE * len(at) and keyed and (not out or p > out[-1] + len(own)):
+            out.append(p)
+    return [max(0, p) for p in out]
+
+
+def test_whole_licence_texts_against_brute_force(spark):
+    rng = random.Random(3)
+    full, rows = license_scan.texts(), []
+    names = [n for n in full if len(full[n][0]) < 12000]
+    assert len(full) > 12 and len(names) > 7
+    for k, name in enumerate(names * 5):
+        own = words(full[name][0])[0]
+        damage = rng.choice([0, 0.02, 0.1, 0.2])
+        own = [x if rng.random() >= damage else "changed" for x in own]
+        own[len(own) // 2 : len(own) // 2] = ["inserted"] * rng.choice([0, 5, 60])
+        rows.append((k, " ".join(["before"] * rng.choice([0, 7]) + own + ["between"] * 3 + own * rng.choice([0, 1]) + ["the", "copyright", "software"] * 5)))
+    rows.append((1000, " ".join(w for n in names for w in words(full[n][0])[0][:60])))
+    counts = {}
+    for _, t in rows:
+        for x in set(words(t)[0]):
+            counts[x] = counts.get(x, 0) + 1
+    counts = {x: counts.get(x, 0) for t, _ in full.values() for x in words(t)[0]}
+    got = {i: {} for i, _ in rows}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.license.endswith("-text"):
+            got[r.doc_id][r.license[:-5]] = (r.first_token, r.n_places)
+    want = {i: {n: (p[0], len(p)) for n in full if (p := brute_text(words(t)[0], n, counts))} for i, t in rows}
+    assert got == want and sum(n in want[k] for k, n in enumerate(names * 5)) > 2 * len(names) and not want[1000]
+
+
 def test_line_dedup_without_broadcast(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = sorted(map(tuple, line_dedup.drop_lines(docs, min_pages=2, min_on=2).collect()))
