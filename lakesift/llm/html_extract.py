@@ -1,4 +1,4 @@
-"""HTML extraction (4): tree scoring. Each paragraph passes points for its length and commas to its ancestors, less the further up they are; a
+"""HTML extraction (4): tree scoring. Each paragraph passes points for its length and commas to its ancestors, half as many with each level further up, all the way to the root; a
 container's points are discounted by its link density; the best container and those of its siblings that score well are kept.
 
 Pages are independent: one Arrow pass, no shuffle. A page is scanned once from start to end; no pattern here can go back over what it has read, so that a very
@@ -23,8 +23,8 @@ from lakesift.llm.common import pieces
 
 #: Points: one for a paragraph, one for each comma, one for each CHARS_POINT characters up to MAX_LENGTH_POINTS. Shorter ones than LEAST give none.
 LEAST, CHARS_POINT, MAX_LENGTH_POINTS = 25, 100, 3
-#: Points reach so many ancestors.
-LEVELS = 8
+#: What of a container's points goes on to its parent.
+UP = 0.5
 #: A sibling is kept from this share of the best score, or as a paragraph of so many characters with less link density than this.
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +33,7 @@ UNLIKELY = frozenset("nav footer aside form menu dialog".split())
 PARAGRAPH = frozenset("p pre td blockquote div section article main body".split())
 BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"li": ("li", ("ul", "ol")), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "tr": ("tr", ("table",)), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",))}
-_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|[!?][^<>]*>)")
+_MARK = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^<>=]++|=)*+)>|[!?][^<>]*>)""")
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
 _BAD = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|banner|promo\w*|sponsor\w*|sidebar|comments?|footer|nav\w*|menu|share|social|related|breadcrumbs?|cookie\w*|popup|widget)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
@@ -140,15 +140,13 @@ def extract(page: str | None) -> tuple[str | None, int, float]:
     for k in range(n - 1, 0, -1):
         chars[tree.parent[k]] += chars[k]
         linked[tree.parent[k]] += linked[k]
-    points = [0.0] * n
+    points, gain = [0.0] * n, [0.0] * n
     for node, text in spans:
-        if len(text) < LEAST or not (tree.tag[node] in PARAGRAPH or node == 0):
-            continue
-        gain = 1 + text.count(",") + text.count("、") + min(len(text) / CHARS_POINT, MAX_LENGTH_POINTS)
-        at, level = (tree.parent[node] if node else 0), 0
-        while at >= 0 and level < LEVELS:
-            points[at] += gain / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            at, level = tree.parent[at], level + 1
+        if len(text) >= LEAST and (tree.tag[node] in PARAGRAPH or node == 0):
+            gain[node] += 1 + text.count(",") + text.count("、") + min(len(text) / CHARS_POINT, MAX_LENGTH_POINTS)
+    for k in range(n - 1, 0, -1):  # children come after their parents
+        points[tree.parent[k]] += gain[k] + UP * points[k]
+    points[0] += gain[0]
     density = [linked[k] / chars[k] if chars[k] else 0.0 for k in range(n)]
     score = [points[k] * (1 - density[k]) for k in range(n)]
     best = max(range(n), key=lambda k: (score[k], tree.depth[k], -k))

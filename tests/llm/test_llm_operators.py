@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -254,9 +256,101 @@ text</b>, is long enough too.<br>Next line</article><div class=related><p>Read t
     assert html_extract.extract(links)[0] == "Some plain text, which is what the page is about, really."
 
 
-def test_html_on_pages(spark, sf_dir):
-    got = html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
-    assert all(r.main_text for r in got) and not any("track(" in r.main_text for r in got)
+class Page(HTMLParser):
+    """Elements as nested lists, from the standard library's events: [tag, hidden, parent, children], where children are elements and texts."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.now = ["#root", False, None, []]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK:
+            at = self.now
+            while at[2] and at[0] != "p" and at[0] not in html_extract.BLOCK:
+                at = at[2]
+            self.now = at[2] if at[0] == "p" else self.now
+        same, limits = html_extract._CLOSES.get(tag, (None, ()))
+        at = self.now
+        while same and at[2] and at[0] not in (tag, same) and at[0] not in limits:
+            at = at[2]
+        if same and at[0] in (tag, same):
+            self.now = at[2]
+        if tag in ("br", "hr"):
+            self.now[3].append(" ")
+        bad = self.now[1] or tag in html_extract.HIDDEN or tag in html_extract.UNLIKELY or any(k in ("class", "id", "role") and html_extract._BAD.search(v or "") for k, v in attrs)
+        new = [tag, bool(bad), self.now, []]
+        self.now[3].append(new)
+        if tag not in html_extract.VOID:
+            self.now = new
+
+    def handle_endtag(self, tag):
+        at = self.now
+        while at[2] and at[0] != tag:
+            at = at[2]
+        self.now = at[2] if at[0] == tag else self.now
+
+    def handle_data(self, data):
+        self.now[3].append(data)
+
+
+def brute_extract(page):
+    """The definition, element by element: every paragraph's points are handed to each of its ancestors in turn."""
+    root, squeeze = Page(page).root, lambda x: re.sub(r"\s+", " ", x)
+    elements, paragraphs, last = [], [], [None]
+
+    def walk(node, ancestors, link):
+        elements.append((node, ancestors))
+        own = [n for n in [*ancestors, node] if n[0] in html_extract.BLOCK or n is root][-1]
+        for child in node[3]:
+            if isinstance(child, list):
+                walk(child, [*ancestors, node], link or child[0] == "a")
+            elif child and not node[1]:
+                if last[0] is own:
+                    paragraphs[-1][1].append((child, [*ancestors, node], link))
+                else:
+                    paragraphs.append((own, [(child, [*ancestors, node], link)]))
+                last[0] = own
+
+    walk(root, [], False)
+    ups = {id(n): a for n, a in elements}
+    points, chars, linked = {}, {}, {}
+    for own, parts in paragraphs:
+        text = squeeze("".join(squeeze(x) for x, _, _ in parts)).strip()
+        for x, up, link in parts:
+            for n in up:
+                chars[id(n)] = chars.get(id(n), 0) + len(squeeze(x))
+                linked[id(n)] = linked.get(id(n), 0) + link * len(squeeze(x))
+        if len(text) >= html_extract.LEAST and (own[0] in html_extract.PARAGRAPH or own is root):
+            gain = 1 + text.count(",") + text.count("、") + min(len(text) / html_extract.CHARS_POINT, html_extract.MAX_LENGTH_POINTS)
+            for level, n in enumerate(reversed(ups[id(own)] or [root])):
+                points[id(n)] = points.get(id(n), 0) + gain * 0.5**level
+    density = lambda n: linked.get(id(n), 0) / chars[id(n)] if chars.get(id(n)) else 0.0
+    score = lambda n: points.get(id(n), 0) * (1 - density(n))
+    texts = [(own, squeeze("".join(squeeze(x) for x, _, _ in parts)).strip()) for own, parts in paragraphs]
+    best, most = None, 0.0
+    for n, up in elements:
+        if score(n) > most + 1e-9 or (best is not None and abs(score(n) - most) <= 1e-9 and len(up) > len(ups[id(best)])):
+            best, most = n, score(n)
+    if best is None:
+        return [t for _, t in texts if t], 0.0
+    good = [best, *(n for n in (best[2][3] if best[2] else []) if isinstance(n, list) and n is not best and ((n[0] == "p" and chars.get(id(n), 0) >= html_extract.SIBLING_CHARS and density(n) < html_extract.SIBLING_LINKS) or score(n) >= max(1.0, html_extract.SIBLING_SHARE * most)))]
+    inside = lambda n: any(g is m for g in good for m in [*ups[id(n)], n])
+    return [t for own, t in texts if t and inside(own) and density(own) <= 0.5], most
+
+
+def test_html_on_pages_against_brute_force(spark, sf_dir):
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    deep = "<div>" * 30 + "<p>Deep down there is one paragraph, with commas, of which, as we see, it has more, and it is long enough.</p>" + "</div>" * 30
+    pages += [(-1, f"<body>{deep}<div><p>Another one, which is shorter, is here, on its own.</p></div></body>"), (-2, '<body><p title="a > b, and <i>c</i> > d">Attributes with marks, in quotes, aren\'t text of any paragraph.</p></body>')]
+    pages += [(-3, "<body><div><p>One, two, three, four, five, six and so on in a line.</p><p>it's here and it's there, isn't it, and so on</p></div><div class='x\"y' id=a>More of it, and more, and still more of it.</div></body>")]
+    got = {r.page_id: r for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    for k, page in pages:
+        text, score = brute_extract(page)
+        assert (got[k].main_text or "").split("\n") == text and got[k].score == pytest.approx(score), k
+    assert all(r.main_text for r in got.values()) and not any("track(" in r.main_text for r in got.values())
+    assert got[-2].main_text == "Attributes with marks, in quotes, aren't text of any paragraph."
 
 
 def test_url_filter_propagates(spark):
