@@ -7,7 +7,7 @@ hash collision removes anything. Windows that hit are merged to spans, and a spa
 last, are cut out of the text. A document of which more than MAX_SHARE of its tokens lies in spans goes as a whole.
 
 What is broadcast is the benchmark's windows, whose size is checked: beyond MAX_BROADCAST bytes the windows of both sides meet in a shuffle join
-on their hashes instead, and verification goes on from the matching positions.
+on their hashes instead, and verification goes on from the matching positions. Of a document's windows only those move whose bit is set in a table of the benchmark's hashes (MAX_BITS at most).
 
 Defined cases: a null text stays null and is kept; an empty one likewise. Null items, and items of fewer than MIN_TOKENS tokens, are not looked for.
 Copies of a document are each treated; repeated items count once. Of an empty table comes an empty one; an empty benchmark leaves all
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesift.llm.common import SEPARATORS_RE, TOKEN_RE, gram_hashes, lowered, pieces, token_hashes
+from lakesift.llm.common import TOKEN_RE, cut, gram_hashes, lowered, pieces, token_hashes
 
 #: Tokens in a window; least tokens of an item that is looked for; largest share of a document's tokens in spans; bytes of windows to broadcast at most.
 N, MIN_TOKENS, MAX_SHARE, MAX_BROADCAST = 8, 5, 0.5, 64 << 20
+#: Bits of the table of hashes for the way beyond a broadcast: 16 a window up to this.
+MAX_BITS, _SLICES = 1 << 29, 16
 
 _WORDS = re.compile(r"[a-zA-Z0-9À-῿⁰-⿿぀-\U0010ffff]+")
 
@@ -164,6 +166,33 @@ def _lengths(grams: set[str]) -> list[int]:
     return found[1]
 
 
+def _bit_table(tests: DataFrame) -> np.ndarray:
+    """A table, of a power of two of places, that is true at the leading bits of each hash in tests (h)."""
+    bits = int(np.clip(16 * tests.count(), 1 << 16, MAX_BITS) - 1).bit_length()
+    part = (1 << bits) // _SLICES // 8
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << bits, np.bool_)
+        for batch in batches:
+            found[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(found)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([packed[k * part : (k + 1) * part].tobytes() for k in range(_SLICES)], pa.binary())], ["slice", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(x.as_buffer(), np.uint8)
+                total[k] = total[k] | x if k in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "bits"])
+
+    schema = "slice int, bits binary"
+    out = np.zeros(_SLICES * part, np.uint8)
+    for r in tests.select("h").mapInArrow(gather, schema).repartition(_SLICES, "slice").mapInArrow(merge, schema).toLocalIterator():
+        out[r.slice * part : (r.slice + 1) * part] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _by_join(docs: DataFrame, benchmark: DataFrame, text: str, n: int, min_tokens: int, max_share: float, schema: T.StructType) -> DataFrame:
     """The way beyond a broadcast: the hashes of the documents' windows meet the benchmark's in a shuffle; each document gets the windows it may hold and verifies those."""
     key = "_dc_row"
@@ -175,16 +204,20 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, text: str, n: int, min_token
             yield pa.RecordBatch.from_arrays([pa.array(_hash_windows(grams).view(np.int64)), pa.array(grams, pa.string())], ["h", "gram"])
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).view(np.bool_)
+        shift = np.uint64(64 - len(known).bit_length() + 1)
         for whole in batches:
             for batch in pieces(whole, text):
                 hashes, firsts = token_hashes(lowered(batch.column(text)))
                 rows = batch.column(key).to_numpy(zero_copy_only=False)
                 for size in range(min(min_tokens, n), n + 1):
                     mine, at = gram_hashes(hashes, firsts, size)
-                    pair = np.unique(np.rec.fromarrays([np.repeat(rows, np.diff(at)), mine.view(np.int64)]))
+                    maybe = known[(mine >> shift).astype(np.int64)]
+                    pair = np.unique(np.rec.fromarrays([np.repeat(rows, np.diff(at))[maybe], mine.view(np.int64)[maybe]]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair["f0"])), pa.array(np.ascontiguousarray(pair["f1"]))], [key, "h"])
 
-    tests = benchmark.mapInArrow(test_windows, "h long, gram string").distinct()
+    tests = cut(benchmark.mapInArrow(test_windows, "h long, gram string").distinct(), "benchmark-windows")
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(tests))
     found = docs.select(key, text).mapInArrow(doc_windows, f"{key} long, h long").join(tests, "h").groupBy(key).agg(F.collect_set("gram").alias("_dc_hits"))
     joined = docs.join(found, key, "left").drop(key)
 
@@ -201,17 +234,21 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "lang", "source", "n_spans", "n_tokens_cut", "text")
 
 
-#: Which documents stay, with how many tokens in spans: over a table with doc_id (unique) and text. The text without its spans is not rebuilt in SQL.
-COUNTS_SQL = f"""
-WITH b AS (SELECT regexp_extract_all(regexp_replace(lower(text), '{SEPARATORS_RE}', ' ', 'g'), '{TOKEN_RE}') AS t FROM benchmark WHERE text IS NOT NULL),
+#: Words and what stands between them: word k has part k before it, and one part more at the end. Over a table with doc_id (unique), lang, source and text, and over benchmark (text).
+_LETTERS = TOKEN_RE.replace("a-z", "a-zA-Z")
+CLEAN_SQL = f"""
+WITH b AS (SELECT list_transform(regexp_extract_all(text, '{_LETTERS}'), lambda x: lower(x)) AS t FROM benchmark WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT unnest(CASE WHEN len(t) >= {N} THEN list_transform(range(1, len(t) - {N - 2}), lambda k: array_to_string(t[k:k + {N - 1}], ' '))
         WHEN len(t) >= {MIN_TOKENS} THEN [array_to_string(t, ' ')] ELSE [] END) AS gram FROM b),
 s AS (SELECT DISTINCT len(string_split(gram, ' '))::BIGINT AS n FROM g),
-d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '{SEPARATORS_RE}', ' ', 'g'), '{TOKEN_RE}') AS t FROM {{docs}}),
+d AS MATERIALIZED (SELECT *, list_transform(words, lambda x: lower(x)) AS t FROM (SELECT doc_id, lang, source, text, regexp_extract_all(text, '{_LETTERS}') AS words FROM {{docs}})),
 p AS (SELECT doc_id, n, k, array_to_string(t[k:k + n - 1], ' ') AS gram FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM d, s WHERE len(t) >= n)),
-h AS (SELECT doc_id, k, k + n AS e FROM p JOIN g USING (gram)),
-m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
-c AS (SELECT doc_id, count(*) FILTER (before IS NULL OR k > before) AS n_spans, sum(greatest(0, e - greatest(k, coalesce(before, k))))::BIGINT AS n_tokens_cut FROM m GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_spans, 0) AS n_spans, coalesce(n_tokens_cut, 0) AS n_tokens_cut FROM d LEFT JOIN c USING (doc_id)
+h AS (SELECT doc_id, unnest(range(k, k + n)) AS k FROM p JOIN g USING (gram)),
+c AS (SELECT doc_id, list(DISTINCT k) AS cuts, count(DISTINCT k) AS n_tokens_cut FROM h GROUP BY doc_id)
+SELECT doc_id, lang, source, coalesce(len(list_filter(cuts, lambda k: NOT list_contains(cuts, k - 1))), 0)::BIGINT AS n_spans, coalesce(n_tokens_cut, 0)::BIGINT AS n_tokens_cut,
+ CASE WHEN cuts IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(words) + 2), lambda k:
+   CASE WHEN list_contains(cuts, k) AND list_contains(cuts, k - 1) THEN '' ELSE parts[k] END || CASE WHEN k > len(words) OR list_contains(cuts, k) THEN '' ELSE words[k] END), '') END AS text
+FROM (SELECT d.*, cuts, n_tokens_cut, CASE WHEN cuts IS NOT NULL THEN regexp_split_to_array(text, '{_LETTERS}') END AS parts FROM d LEFT JOIN c USING (doc_id))
 WHERE coalesce(n_tokens_cut, 0) <= {MAX_SHARE} * coalesce(len(t), 0)
 """
+ORACLE = CLEAN_SQL.replace("{docs}", "documents")

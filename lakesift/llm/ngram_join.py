@@ -528,9 +528,9 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return groups(docs).select(F.col("_nj_id").alias("doc_id"), F.col("_nj_group").alias("group_id"), F.col("n_docs").cast("bigint").alias("n_docs"), F.col("n_links").cast("bigint").alias("n_links"))
 
 
-#: All pairs that share a gram, and their components by reachability: over documents (doc_id, text), doc_id unique.
-ORACLE = f"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '{SEPARATORS_RE}', ' ', 'g'), '{TOKEN_RE}') AS w FROM documents),
+#: All pairs that share a gram, and their components by reachability: over a table with doc_id (unique) and text.
+GROUPS_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '{SEPARATORS_RE}', ' ', 'g'), '{TOKEN_RE}') AS w FROM {{docs}}),
 g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda k: array_to_string(w[k:k + {N - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS gram FROM d),
 z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -540,3 +540,4 @@ r AS (SELECT DISTINCT x AS n, x AS m FROM l UNION SELECT r.n, l.y FROM r JOIN l
 c AS (SELECT n AS doc_id, min(m) AS group_id, count(*) AS n_docs FROM r GROUP BY n)
 SELECT c.doc_id, group_id, n_docs, count(*) AS n_links FROM c JOIN l ON l.x = c.doc_id GROUP BY ALL
 """
+ORACLE = GROUPS_SQL.replace("{docs}", "documents")

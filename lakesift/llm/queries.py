@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontamination": decontamination.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
     "op6_mixing": mixing.ORACLE,
