@@ -23,6 +23,9 @@ def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*back)
 
 
+#: Each stage takes any documents: nulls, empty texts, repeated rows and extra columns have the results that its operator states; of an empty table comes an empty one.
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: failing lines go, and documents that lose too much."""
     return _documents(quality_rules.clean_lines(_aside(docs)), docs)
@@ -51,8 +54,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", copies), ("benchmark decontamination", leaks), ("mixing to target weights", mixed)]
-#: Connected components of the Jaccard join, and texts with passages cut out, are beyond SQL; tests hold the pipeline against a brute-force version.
-ORACLE_SQL = None
+_of = lambda sql, docs: sql.replace("{docs}", docs)
+#: The operators' own SQL, each over the rows of the one before. doc_id is unique.
+ORACLE_SQL = f"""
+WITH stage1 AS MATERIALIZED ({_of(quality_rules.CLEANED_SQL, "documents")}),
+stage2 AS MATERIALIZED ({_of(line_dedup.DROPPED_SQL, "stage1")}),
+copies AS MATERIALIZED ({_of(ngram_join.GROUPS_SQL, "stage2")}),
+stage3 AS MATERIALIZED (SELECT * FROM stage2 WHERE doc_id NOT IN (SELECT doc_id FROM copies WHERE doc_id <> group_id)),
+stage4 AS MATERIALIZED ({_of(decontamination.CLEAN_SQL, "stage3")})
+SELECT doc_id, text, lang, source, length(text)::BIGINT AS n_chars, n_tokens, epoch, round(position, 9) AS position FROM ({_of(mixing.MIXED_SQL, "stage4").replace("{columns}", ", d.lang")})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
