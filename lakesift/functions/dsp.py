@@ -59,19 +59,22 @@ def pcm_md5(x: Signal) -> str:
     return hashlib.md5((np.asarray(x, np.float64) * 32767).astype(np.int64).astype(np.int16).tobytes()).hexdigest()
 
 
-def resample(x: Signal, sr: int, target: int, taps: int = 32) -> np.ndarray:
-    """Windowed-sinc resampling."""
+def resample(x: Signal, sr: int, target: int, taps: int = 32, block: int = 1 << 15) -> np.ndarray:
+    """Windowed-sinc resampling, in blocks of output samples: what it holds besides the clip doesn't grow with it."""
     if sr == target or not len(x):
         return np.asarray(x, np.float32)
-    n = int(np.ceil(len(x) * target / sr))
-    at = np.arange(n) * (sr / target)
+    n, x = int(np.ceil(len(x) * target / sr)), np.asarray(x, np.float64)
     cutoff = min(1.0, target / sr)
     reach = int(np.ceil(taps / cutoff))
-    near = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach + 1, reach + 1)
-    away = at[:, None] - near
-    weight = cutoff * np.sinc(cutoff * away) * (0.5 + 0.5 * np.cos(np.pi * np.clip(away / reach, -1, 1)))
-    inside = (near >= 0) & (near < len(x))
-    return (np.where(inside, np.asarray(x, np.float64)[np.clip(near, 0, len(x) - 1)], 0) * weight).sum(1).astype(np.float32)
+    out, offsets = np.empty(n, np.float32), np.arange(-reach + 1, reach + 1)
+    for lo in range(0, n, block):
+        at = np.arange(lo, min(lo + block, n)) * (sr / target)
+        near = np.floor(at).astype(np.int64)[:, None] + offsets
+        away = at[:, None] - near
+        weight = cutoff * np.sinc(cutoff * away) * (0.5 + 0.5 * np.cos(np.pi * np.clip(away / reach, -1, 1)))
+        inside = (near >= 0) & (near < len(x))
+        out[lo : lo + block] = (np.where(inside, x[np.clip(near, 0, len(x) - 1)], 0) * weight).sum(1)
+    return out
 
 
 def _mel(hz: np.ndarray) -> np.ndarray:

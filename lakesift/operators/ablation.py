@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.functions.signals import dot
-from lakesift.functions.text import accent_column
-from lakesift.operators import mix, wer
+from lakesift.operators import diversity, mix, wer
 
 N_SAMPLE = 200
 
@@ -21,28 +20,19 @@ def overlap(train: DataFrame, test: DataFrame, vector: str = "embedding", n_samp
     return best.agg(F.bround(F.avg("s"), 4).alias("acoustic_overlap"))
 
 
-def _entropy_by(splits: DataFrame, column: str, name: str, shifted: bool = False) -> DataFrame:
-    per = splits.filter(F.col(column).isNotNull()).groupBy("mix_synthetic_ratio", column).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("mix_synthetic_ratio"))
-    eps = 1e-12 if shifted else 0.0
-    h, k = F.sum(-F.col("p") * F.ln(F.col("p") + eps)), F.count(F.lit(1))
-    value = h / F.ln(k + eps) if shifted else F.when(k <= 1, 0.0).otherwise(h / F.ln(k))
-    return per.withColumn("p", p).groupBy("mix_synthetic_ratio").agg(value.alias(name))
-
-
 def run(splits: DataFrame, test: DataFrame | None = None, vector: str = "embedding", wer_eval: float | None = None, seed: int = 42, n_sample: int = N_SAMPLE, id_col: str = "id") -> DataFrame:
     """A row for each ratio: counts by source, diversity_ columns, acoustic_overlap (null without a test set), and wer_eval, which is the same for all since the model and its test set are fixed."""
     count = lambda kind: F.count_if(F.col("source") == kind)
     out = splits.groupBy("mix_synthetic_ratio").agg(F.count(F.lit(1)).alias("n_total"), count("real").alias("n_real"), count("synthetic").alias("n_synthetic"))
-    axes = [("gender", "gender_entropy", False), ("age", "age_entropy", False), (accent_column(splits) or "", "accent_entropy", False), ("speaker_id", "speaker_balance", True)]
-    found = [(c, f"diversity_{n}", s) for c, n, s in axes if c in splits.columns]
-    for c, name, shifted in found:
-        out = out.join(_entropy_by(splits, c, name, shifted), "mix_synthetic_ratio", "left").withColumn(name, F.bround(F.coalesce(name, F.lit(0.0)), 4))
-    if found:
-        out = out.withColumn("diversity_overall", F.bround(sum((F.col(n) for _, n, _ in found[1:]), F.col(found[0][1])) / len(found), 4))
+    names = list(diversity.axes_of(splits).values())
+    if names:
+        found = diversity.scores(splits, ["mix_synthetic_ratio"])
+        rounded = [F.bround(F.coalesce(n, F.lit(0.0)), 4).alias(f"diversity_{n}") for n in names]
+        out = out.join(found, "mix_synthetic_ratio", "left").select(*out.columns, *rounded)
+        out = out.withColumn("diversity_overall", F.bround(sum((F.col(f"diversity_{n}") for n in names[1:]), F.col(f"diversity_{names[0]}")) / len(names), 4))
     if test is not None and vector in splits.columns:
         key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-        ranked = splits.filter(F.col(vector).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("mix_synthetic_ratio").orderBy(key, id_col)))
+        ranked = mix.ranked(splits.filter(F.col(vector).isNotNull()).withColumn("_o", key), ["mix_synthetic_ratio"], id_col=id_col)
         train = ranked.filter(F.col("_r") <= n_sample).select("mix_synthetic_ratio", F.col(vector).alias("v"))
         few = mix.sample(test.filter(F.col(vector).isNotNull()), n_sample, seed, id_col).select(F.col(id_col).alias("t"), F.col(vector).alias("u"))
         best = train.crossJoin(F.broadcast(few)).groupBy("mix_synthetic_ratio", "t").agg(F.max(dot(F.col("u"), F.col("v"))).alias("s"))

@@ -89,8 +89,7 @@ def groups(assignment: DataFrame, id_col: str = "id") -> DataFrame:
     return assignment.groupBy("canonical_id").agg(F.array_sort(F.collect_list(id_col)).alias("duplicates"))
 
 
-def contamination(train: DataFrame, test: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", id_col: str = "id") -> DataFrame:
-    """(train_id, test_id) of similar pairs over two manifests."""
-    a = train.select(F.col(id_col).alias("train_id"), F.col(vector).alias("u"))
-    b = test.select(F.col(id_col).alias("test_id"), F.col(vector).alias("v"))
-    return a.crossJoin(b).filter(dot(F.col("u"), F.col("v")) >= threshold).select("train_id", "test_id")
+def contamination(train: DataFrame, test: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", id_col: str = "id", n_bits: int = N_BITS, dim: int = 40) -> DataFrame:
+    """(train_id, test_id) of similar pairs over two manifests, among those with the same sign bucket."""
+    side = lambda df, name, v: df.select(F.col(id_col).alias(name), F.col(vector).alias(v), sign_bucket(F.col(vector), n_bits, dim).alias("bucket"))
+    return side(train, "train_id", "u").join(side(test, "test_id", "v"), "bucket").filter(dot(F.col("u"), F.col("v")) >= threshold).select("train_id", "test_id")

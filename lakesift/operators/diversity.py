@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.functions.text import accent_column, label, words
@@ -17,8 +15,9 @@ def normalise(df: DataFrame) -> DataFrame:
 def counts(df: DataFrame, column: str) -> DataFrame:
     """(label, n, pct): the null label counts, most frequent first; shares are of all rows, rounded half to even."""
     per = df.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.bround(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2).alias("pct")
-    return per.select("label", "n", share).orderBy(F.desc("n"), F.col("label").asc_nulls_last())
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    share = F.bround(100 * F.col("n") / F.col("_total"), 2).alias("pct")
+    return per.crossJoin(F.broadcast(total)).select("label", "n", share).orderBy(F.desc("n"), F.col("label").asc_nulls_last())
 
 
 def speaker_counts(df: DataFrame) -> DataFrame:
@@ -33,21 +32,33 @@ def accent_distribution(df: DataFrame, top: int | None = None) -> DataFrame | No
     return found if top is None else found.limit(top)
 
 
+def _axes(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """(by, axis, h, shifted, k): entropy in nats, the same with a logarithm shifted by 1e-12, and labels, of each column (by its axis' name) in one pass over df. Totals are sums of counts, not windows over labels."""
+    by = by or []
+    each = F.inline(F.array(*(F.struct(F.lit(name).alias("axis"), F.col(c).cast("string").alias("label")) for c, name in columns.items())))
+    per = df.select(*by, each).filter("label is not null").groupBy(*by, "axis", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = per.groupBy(*by, "axis").agg(F.sum("n").alias("total"))
+    p = F.col("n") / F.col("total")
+    return per.join(F.broadcast(total), [*by, "axis"]).groupBy(*by, "axis").agg(F.sum(-p * F.ln(p)).alias("h"), F.sum(-p * F.ln(p + 1e-12)).alias("shifted"), F.count(F.lit(1)).alias("k"))
+
+
+def _value(name: str, normalised: bool = True) -> Column:
+    """An axis' value of rows of _axes: entropy over its greatest value, 0 for one label or none; of speaker_balance with both logarithms shifted."""
+    if name == "speaker_balance":
+        own = F.col("shifted") / F.ln(F.col("k") + 1e-12)
+    else:
+        own = F.when(F.col("k") <= 1, 0.0).otherwise(F.col("h") / F.ln("k")) if normalised else F.col("h")
+    return F.coalesce(F.max(F.when(F.col("axis") == name, own)), F.lit(0.0))
+
+
 def entropy(df: DataFrame, column: str, normalised: bool = True) -> DataFrame:
     """One row, value: Shannon entropy of the labels in nats, or divided by its greatest value; 0 for one label or none."""
-    per = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy())
-    agg = per.select(p.alias("p")).agg(F.sum(-F.col("p") * F.ln("p")).alias("h"), F.count(F.lit(1)).alias("k"))
-    h = F.coalesce("h", F.lit(0.0))
-    return agg.select((F.when(F.col("k") <= 1, 0.0).otherwise(h / F.ln("k")) if normalised else h).alias("value"))
+    return _axes(df, {column: column}).agg(_value(column, normalised).alias("value"))
 
 
 def balance(df: DataFrame, column: str = "speaker_id") -> DataFrame:
     """One row, value: entropy of speakers with both logarithms shifted by 1e-12; -1 for one speaker, 0 for none."""
-    per = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy())
-    agg = per.select(p.alias("p")).agg(F.sum(-F.col("p") * F.ln(F.col("p") + 1e-12)).alias("h"), F.count(F.lit(1)).alias("k"))
-    return agg.select(F.coalesce(F.col("h") / F.ln(F.col("k") + 1e-12), F.lit(0.0)).alias("value"))
+    return _axes(df, {column: "speaker_balance"}).agg(_value("speaker_balance").alias("value"))
 
 
 def imbalance(df: DataFrame) -> DataFrame:
@@ -81,14 +92,20 @@ def duration_stats(df: DataFrame, column: str = "duration_sec") -> DataFrame:
     return df.agg((F.sum(c) / 3600).alias("total_hours"), *(v.alias(k) for k, v in _moments(c).items()))
 
 
-def scores(df: DataFrame) -> DataFrame:
-    """One row: an entropy for each axis that is there, speaker_balance, and overall, the mean of them all."""
-    axes = [("gender", "gender_entropy", entropy), ("age", "age_entropy", entropy), (accent_column(df) or "", "accent_entropy", entropy), ("speaker_id", "speaker_balance", balance)]
-    parts = [f(df, c).withColumnRenamed("value", name) for c, name, f in axes if c in df.columns]
-    if not parts:
+def axes_of(df: DataFrame) -> dict[str, str]:
+    """The columns that scores read, with the names of their axes."""
+    wanted = [("gender", "gender_entropy"), ("age", "age_entropy"), (accent_column(df) or "", "accent_entropy"), ("speaker_id", "speaker_balance")]
+    return {c: name for c, name in wanted if c in df.columns}
+
+
+def scores(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each value of by): an entropy for each axis that is there, speaker_balance, and overall, the mean of them all. All axes come from one pass."""
+    columns = axes_of(df)
+    if not columns:
         return df.sparkSession.createDataFrame([(None,)], "overall double")
-    row = reduce(lambda a, b: a.crossJoin(b), parts)
-    names = row.columns
+    names = list(columns.values())
+    found = _axes(df, columns, by)
+    row = (found.groupBy(*by) if by else found).agg(*(_value(n).alias(n) for n in names))
     return row.withColumn("overall", sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names))
 
 

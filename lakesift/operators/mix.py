@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lakesift.functions.text import shuffle_key
 
 RATIOS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+#: Rows that are drawn by a plain sort; digits of a key's beginning, of which there are 16^DIGITS.
+FEW, DIGITS = 10_000, 3
 
 
 def sizes(n_real: int, n_synthetic: int, ratio: float, fixed: bool = True) -> tuple[int, int]:
@@ -19,9 +21,35 @@ def sizes(n_real: int, n_synthetic: int, ratio: float, fixed: bool = True) -> tu
     return min(total - wanted, n_real), min(wanted, n_synthetic)
 
 
+def lowest(df: DataFrame, n: int, key: str = "_o", id_col: str = "id") -> DataFrame:
+    """The n rows of the least keys (hexadecimal). A few are sorted; of many, counts by the key's beginning (16^DIGITS at most) say up to where all are taken, so that no task gets all n."""
+    if n <= FEW:
+        return df.orderBy(key, id_col).limit(max(0, n))
+    begins = F.substring(key, 1, DIGITS)
+    before = 0
+    for begin, count in sorted(df.groupBy(begins.alias("b")).count().collect()):
+        if before + count >= n:
+            return df.filter(begins < begin).unionByName(df.filter(begins == begin).orderBy(key, id_col).limit(n - before))
+        before += count
+    return df
+
+
+def ranked(df: DataFrame, by: list[str], key: str = "_o", id_col: str = "id") -> DataFrame:
+    """df with _r, the place in its group by (key, id), from 1: places among equal beginnings of the key, and counts of those before. A large group is many tasks."""
+    part = df.withColumn("_b", F.substring(key, 1, DIGITS))
+    sums = part.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_b").alias("_gb"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(key, id_col))
+    same = F.col("_b") == F.col("_gb")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    return part.withColumn("_i", inside).join(sums, same).withColumn("_r", F.col("_i") + F.col("_before")).drop("_b", "_i", "_gb", "_before", *(f"_g{k}" for k in range(len(by))))
+
+
 def sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """min(n, rows) rows."""
-    return df.withColumn("_o", shuffle_key(seed, F.col(id_col))).orderBy("_o", id_col).limit(max(0, n)).drop("_o")
+    return lowest(df.withColumn("_o", shuffle_key(seed, F.col(id_col))), n, id_col=id_col).drop("_o")
 
 
 def stratum(df: DataFrame) -> str | None:
@@ -34,12 +62,14 @@ def stratified(df: DataFrame, n: int, seed: int = 42, id_col: str = "id", by: st
     if by is None:
         return sample(df, n, seed, id_col)
     key = shuffle_key(seed, F.col(id_col))
-    w = Window.partitionBy(by).orderBy("_o", id_col)
-    ranked = df.withColumn("_o", key).withColumn("_r", F.row_number().over(w))
     strata = df.groupBy(F.col(by).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    strata = strata.withColumn("_q", F.least(F.col("_c"), F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_c") / F.sum("_c").over(Window.partitionBy()), 0)).cast("bigint")))
-    first = ranked.join(strata, F.col(by).eqNullSafe(F.col("_s"))).withColumn("_late", (F.col("_r") > F.col("_q")).cast("int"))
-    return first.orderBy("_late", "_o", id_col).limit(max(0, n)).select(*df.columns)
+    total = strata.agg(F.sum("_c")).first()[0] or 0
+    strata = strata.withColumn("_q", F.least(F.col("_c"), F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_c") / F.lit(total), 0)).cast("bigint")))
+    drawn = strata.agg(F.sum("_q")).first()[0] or 0
+    both = ranked(df.withColumn("_o", key), [by], id_col=id_col).join(strata, F.col(by).eqNullSafe(F.col("_s")))
+    first, late = both.filter(F.col("_r") <= F.col("_q")), both.filter(F.col("_r") > F.col("_q"))
+    out = lowest(first, n, id_col=id_col) if drawn >= n else first.unionByName(lowest(late, n - drawn, id_col=id_col))
+    return out.select(*df.columns)
 
 
 def mix(real: DataFrame, synthetic: DataFrame, ratio: float, strategy: str = "random", seed: int = 42, fixed: bool = True, id_col: str = "id") -> DataFrame:
@@ -57,9 +87,8 @@ def splits(real: DataFrame, synthetic: DataFrame, ratios: tuple[float, ...] = RA
     table = F.broadcast(real.sparkSession.createDataFrame(plan, "mix_synthetic_ratio double, _real bigint, _syn bigint"))
     pool = real.withColumn("_is_syn", F.lit(False)).unionByName(synthetic.withColumn("_is_syn", F.lit(True)), allowMissingColumns=True)
     each = pool.crossJoin(table).withColumn("_o", shuffle_key(seed, F.col(id_col), F.col("mix_synthetic_ratio")))
-    w = Window.partitionBy("mix_synthetic_ratio", "_is_syn").orderBy("_o", id_col)
     cut = F.when(F.col("_is_syn"), F.col("_syn")).otherwise(F.col("_real"))
-    return each.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cut).drop("_r", "_o", "_real", "_syn", "_is_syn")
+    return ranked(each, ["mix_synthetic_ratio", "_is_syn"], id_col=id_col).filter(F.col("_r") <= cut).drop("_r", "_o", "_real", "_syn", "_is_syn")
 
 
 def balance(df: DataFrame, target: dict[str, float] | None = None, seed: int = 42, id_col: str = "id", column: str = "gender", inverse: bool = False) -> DataFrame:
@@ -83,9 +112,8 @@ def balance(df: DataFrame, target: dict[str, float] | None = None, seed: int = 4
     limit: Column = F.lit(None).cast("bigint")
     for k, q in quota.items():
         limit = F.when(F.col(column) == k, F.lit(q)).otherwise(limit)
-    w = Window.partitionBy(column).orderBy(shuffle_key(seed, F.col(id_col)), id_col)
-    ranked = df.filter(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(w))
-    return ranked.filter(F.col("_r") <= F.coalesce(limit, F.col("_r"))).drop("_r")
+    known = df.filter(F.col(column).isNotNull()).withColumn("_o", shuffle_key(seed, F.col(id_col)))
+    return ranked(known, [column], id_col=id_col).filter(F.col("_r") <= F.coalesce(limit, F.col("_r"))).drop("_r", "_o")
 
 
 def holdout(df: DataFrame, seed: int = 42, id_col: str = "id", least: int = 50, share: float = 0.1) -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.functions import dsp
 from lakesift.schemas import QUALITY
+from lakesift.sources.audio import lists
 
 
 @dataclass(frozen=True)
@@ -56,19 +57,25 @@ def inspect_clip(x: np.ndarray, sr: int, t: Thresholds = Thresholds()) -> dict:
 
 
 def measure(clips: DataFrame, t: Thresholds = Thresholds(), embed: bool = True, id_col: str = "id") -> DataFrame:
-    """One Arrow pass over clips (id, samples, sr): the feature table, without the samples. Everything after it is relational."""
+    """One Arrow pass over clips (id, samples, sr): the feature table, without the samples, with load_error if clips have it. Everything after it is relational."""
+    kinds = {"duration_sec": pa.float64(), "snr_db": pa.float64(), "silence_ratio": pa.float64(), "rms_db": pa.float64(), "is_clipped": pa.bool_(), "passes": pa.bool_(), "fail_reasons": pa.list_(pa.string())}
+    more = [c for c in ("load_error",) if c in clips.columns]
+    names = [id_col, *kinds, "md5", "embedding", *more]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                x, sr = np.asarray(row.samples if row.samples is not None else [], np.float32), int(row.sr or 16000)
-                found = {id_col: getattr(row, id_col), **inspect_clip(x, sr, t), "md5": dsp.pcm_md5(x)}
-                out.append(found | {"embedding": dsp.mfcc_embedding(x, sr).tolist() if embed else None})
-            yield pd.DataFrame(out, columns=names)
-
-    names = [id_col, *(c.split()[0] for c in QUALITY.split(", ")), "md5", "embedding"]
-    return clips.select(id_col, "samples", "sr").mapInPandas(run, f"{id_col} {clips.schema[id_col].dataType.simpleString()}, {QUALITY}, md5 string, embedding array<float>")
+            column, rates = batch.column("samples"), batch.column("sr").to_pylist()
+            off, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+            clip = [flat[a:b] for a, b in zip(off[:-1], off[1:])]
+            rates = [int(r or 16000) for r in rates]
+            found = [inspect_clip(x, sr, t) for x, sr in zip(clip, rates)]
+            vectors = lists([dsp.mfcc_embedding(x, sr) for x, sr in zip(clip, rates)]) if embed else pa.nulls(len(clip), pa.list_(pa.float32()))
+            values = [pa.array([f[k] for f in found], kind) for k, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), *values, pa.array([dsp.pcm_md5(x) for x in clip]), vectors, *(batch.column(c) for c in more)], names)
+
+    samples = F.coalesce("samples", F.array().cast("array<float>")).alias("samples")
+    errors = "".join(f", {c} string" for c in more)
+    return clips.select(id_col, samples, "sr", *more).mapInArrow(run, f"{id_col} {clips.schema[id_col].dataType.simpleString()}, {QUALITY}, md5 string, embedding array<float>{errors}")
 
 
 def attach(manifest: DataFrame, features: DataFrame, id_col: str = "id") -> DataFrame:

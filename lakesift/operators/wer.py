@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lakesift.functions.text import words
 
-#: The character before the first that stands for a word, and the distinct words of a pair that lie below the surrogates' range; more are an error.
-_BASE, MAX_WORDS = 0x4E00, 0xD800 - 0x4E00 - 1
+#: The character before the first that stands for a word, and the distinct words of a pair that there are characters for beyond it (of a million words each, a table of distances would have 10^12 cells); more are an error.
+_BASE, MAX_WORDS = 0xFFFF, 0x10FFFF - 0xFFFF
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -19,7 +19,7 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 def with_edits(df: DataFrame, ref: str, hyp: str, edits: str, n_ref: str, n_hyp: str, lower: bool = True) -> DataFrame:
     """df with the edits and both sides' numbers of words under these names."""
     clean = lambda c: words(F.lower(F.coalesce(c, F.lit(""))) if lower else F.coalesce(c, F.lit("")))
-    spell = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position("_names", w) + _BASE), 4, "0")), "")), "UTF-16BE")
+    spell = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position("_names", w) + _BASE), 8, "0")), "")), "UTF-32")
     both = _once(_once(df, _a=clean(F.col(ref)), _b=clean(F.col(hyp))), _names=F.array_union("_a", "_b"))
     distance = F.when(F.size("_names") <= MAX_WORDS, F.levenshtein(spell("_a"), spell("_b"))).otherwise(F.raise_error(F.lit(f"a pair has more than {MAX_WORDS} distinct words")).cast("int"))
     done = _once(both, **{edits: distance.cast("bigint"), n_ref: F.size("_a").cast("bigint"), n_hyp: F.size("_b").cast("bigint")})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.operators import ablation, dedup, diversity, gaps, mix, quality, synth
+from lakesift.session import written
 from lakesift.sources import audio, tables
 
 
@@ -15,7 +16,7 @@ def curate(manifest: DataFrame, clips: DataFrame, thresholds: quality.Thresholds
     """(survivors with qf_ columns, report). clips are (id, samples, sr, load_error). The feature table, without samples, is made once and feeds everything after it."""
     began = time.time()
     features = quality.measure(clips, thresholds).persist()
-    ordered = manifest if "pos" in manifest.columns else manifest.withColumn("pos", F.monotonically_increasing_id())
+    ordered = manifest if "pos" in manifest.columns else written(manifest.withColumn("pos", F.monotonically_increasing_id()))
     annotated = quality.attach(ordered, features).persist()
     passed = features.filter("passes").join(ordered.select("id", "pos"), "id")
     assignment = dedup.assign(passed, dedup_threshold, n_bits, blocks=True).persist()
@@ -23,7 +24,7 @@ def curate(manifest: DataFrame, clips: DataFrame, thresholds: quality.Thresholds
     n_input, n_output = annotated.count(), kept.count()
     report = {
         "n_input": n_input,
-        "load_errors": clips.filter("load_error is not null").count(),
+        "load_errors": features.filter("load_error is not null").count() if "load_error" in features.columns else 0,
         "quality": quality.summary(features).first().asDict() | {
             "fail_reasons": {r.reason: r.n for r in quality.reason_counts(features, False).collect()}, "fail_categories": {r.reason: r.n for r in quality.reason_counts(features).collect()},
         },

@@ -9,12 +9,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.functions.dsp import resample
 
 TARGET_SR = 16000
+#: Clips of an Arrow batch at most; bytes of ids and paths to broadcast at most.
+CLIPS, MAX_BROADCAST = 16, 64 << 20
 
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
@@ -40,30 +43,53 @@ def write_wav(path: str, x: np.ndarray, sr: int) -> None:
         f.writeframes((np.clip(np.asarray(x, np.float64), -1, 1) * 32767).astype("<i2").tobytes())
 
 
+def lists(arrays: list[np.ndarray], kind: pa.DataType = pa.float32()) -> pa.ListArray:
+    """Arrays as one Arrow column, without a Python object for each value."""
+    ends = np.cumsum([len(x) for x in arrays], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
+
+
 def decode(files: DataFrame, target_sr: int = TARGET_SR, decoder: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav, id_col: str = "id") -> DataFrame:
     """(id, samples, sr, load_error) of (id, content). A file that can't be read is a second of zeros, with the error: it fails quality but is counted."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, content in zip(batch[id_col], batch["content"]):
-                try:
-                    x, sr = decoder(bytes(content))
-                    out.append((name, resample(x, sr, target_sr).tolist(), target_sr, None))
-                except Exception as error:  # any broken file
-                    out.append((name, [0.0] * target_sr, target_sr, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(out, columns=[id_col, "samples", "sr", "load_error"])
+    def one(content) -> tuple[np.ndarray, str | None]:
+        try:
+            x, sr = decoder(content.as_buffer().to_pybytes() if content.is_valid else b"")
+            return resample(x, sr, target_sr), None
+        except Exception as error:  # any broken file
+            return np.zeros(target_sr, np.float32), f"{type(error).__name__}: {error}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, CLIPS):
+                batch = whole.slice(k, CLIPS)
+                found = [one(x) for x in batch.column("content")]
+                sr = pa.array(np.full(len(found), target_sr, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), lists([x for x, _ in found]), sr, pa.array([e for _, e in found], pa.string())], [id_col, "samples", "sr", "load_error"])
 
     kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, "content").mapInPandas(run, f"{id_col} {kind}, samples array<float>, sr int, load_error string")
+    return files.select(id_col, "content").mapInArrow(run, f"{id_col} {kind}, samples array<float>, sr int, load_error string")
+
+
+def _plain(path: Column) -> Column:
+    """A path without its scheme for local files, and without repeated or relative slashes."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/*", "/"), "/+(\\./+)*", "/")
+
 
+def load_clips(manifest: DataFrame, folder: str, target_sr: int = TARGET_SR, path: str = "path", id_col: str = "id", decoder=decode_wav, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The manifest's clips. A path is absolute or under folder, and names one file: equal names in different folders are different clips. A path without a file is a load error too.
 
-def load_clips(manifest: DataFrame, folder: str, target_sr: int = TARGET_SR, path: str = "path", id_col: str = "id", decoder=decode_wav) -> DataFrame:
-    """The manifest's clips from the files under folder. A path without a file is a load error too."""
+    ids and paths are broadcast to the files up to a size, so that sound isn't shuffled; beyond it they are joined.
+    """
     files = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(folder)
-    name = lambda c: F.substring_index(c, "/", -1)
-    found = manifest.select(id_col, name(F.col(path)).alias("_f")).join(files.select(name(F.col("path")).alias("_f"), "content"), "_f", "left")
-    return decode(found.withColumn("content", F.coalesce("content", F.lit(b"").cast("binary"))), target_sr, decoder, id_col)
+    root = folder if ":" in folder or folder.startswith("/") else os.path.abspath(folder)
+    under = F.concat(F.lit(root.rstrip("/") + "/"), F.coalesce(F.col(path), F.lit("")))
+    wanted = manifest.select(id_col, _plain(F.when(F.col(path).rlike("^([a-z0-9]+:)?/"), F.col(path)).otherwise(under)).alias("_f"))
+    small = (wanted.agg(F.sum(F.length("_f") + 64)).first()[0] or 0) <= max_broadcast
+    there = files.select(_plain(F.col("path")).alias("_f"))
+    found = files.select(_plain(F.col("path")).alias("_f"), "content").join(F.broadcast(wanted) if small else wanted, "_f").select(id_col, "content")
+    lost = wanted.join(there, "_f", "left_anti").select(id_col, F.lit(None).cast("binary").alias("content"))
+    return decode(found.unionByName(lost), target_sr, decoder, id_col)
 
 
 def write_clips(clips: DataFrame, folder: str, id_col: str = "id") -> DataFrame:

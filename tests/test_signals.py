@@ -83,3 +83,21 @@ def test_wav_and_load_errors(spark, tmp_path):
     got = {r.id: r for r in audio.load_clips(m, str(tmp_path)).collect()}
     assert got["a"].load_error is None and np.abs(np.array(got["a"].samples) - tone()).max() < 1e-3
     assert got["b"].load_error and got["c"].load_error and len(got["b"].samples) == SR and not any(got["b"].samples)
+
+
+def test_resampling_in_blocks():
+    x = np.random.default_rng(0).normal(size=5000).astype(np.float32)
+    assert np.array_equal(dsp.resample(x, 44100, 16000), dsp.resample(x, 44100, 16000, block=97))
+
+
+def test_equal_names_in_different_folders(spark, tmp_path):
+    """A path names one file; a missing one is a load error, and nothing is multiplied."""
+    from lakesift.sources import audio
+
+    for k, folder in enumerate(("a", "b")):
+        audio.write_wav(str(tmp_path / folder / "1.wav"), np.full(100 * (k + 1), 0.5), 16000)
+    rows = [("x", "a/1.wav"), ("y", "b/1.wav"), ("z", str(tmp_path / "b" / "1.wav")), ("lost", "1.wav"), ("none", None)]
+    manifest = spark.createDataFrame(rows, "id string, path string")
+    for limit in (64 << 20, -1):
+        got = {r.id: (len(r.samples), r.load_error is None) for r in audio.load_clips(manifest, str(tmp_path), max_broadcast=limit).collect()}
+        assert got == {"x": (100, True), "y": (200, True), "z": (200, True), "lost": (16000, False), "none": (16000, False)}

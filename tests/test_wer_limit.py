@@ -1,11 +1,8 @@
-import pytest
-
 from lakesift.operators import wer
 
 
-def test_too_many_distinct_words_are_an_error(spark):
-    text = lambda n: " ".join(f"w{k}" for k in range(n))
-    df = spark.createDataFrame([(text(wer.MAX_WORDS + 1), ""), ("a b", "a c")], "sentence string, hypothesis string")
-    with pytest.raises(Exception, match="distinct words"):
-        wer.score(df).collect()
-    assert [r.wer_edits for r in wer.score(df.filter("length(hypothesis) > 0")).collect()] == [1]
+def test_many_distinct_words(spark):
+    """Beyond the words that two bytes can tell apart."""
+    text = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    df = spark.createDataFrame([(0, text(0, 70000), text(69990, 70010)), (1, "a b", "a c")], "id int, sentence string, hypothesis string")
+    assert {r.id: r.wer_edits for r in wer.score(df).collect()} == {0: 70000, 1: 1}
