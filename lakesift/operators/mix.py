@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.functions.text import shuffle_key
+from lakesift.session import written
 
 RATIOS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
 #: Rows that are drawn by a plain sort; digits of a key's beginning, of which there are 16^DIGITS.
@@ -47,6 +48,15 @@ def ranked(df: DataFrame, by: list[str], key: str = "_o", id_col: str = "id") ->
     return part.withColumn("_i", inside).join(sums, same).withColumn("_r", F.col("_i") + F.col("_before")).drop("_b", "_i", "_gb", "_before", *(f"_g{k}" for k in range(len(by))))
 
 
+def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df with its rows' numbers in this order, from 0: numbers in ranges of rows, and counts of the ranges before."""
+    part = written(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
+    sums = part.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_c"))  # a row for each range
+    sums = sums.select("_q", F.coalesce(F.sum("_c").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1 + F.col("_before")
+    return part.join(F.broadcast(sums), F.col("_p") == F.col("_q")).withColumn(name, place.cast("bigint")).drop("_p", "_q", "_before")
+
+
 def sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
     """min(n, rows) rows."""
     return lowest(df.withColumn("_o", shuffle_key(seed, F.col(id_col))), n, id_col=id_col).drop("_o")

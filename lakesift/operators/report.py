@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def funnel(spark: SparkSession, report: dict) -> DataFrame:
@@ -31,6 +32,32 @@ def ablation_series(results: DataFrame) -> DataFrame:
     return wide.unpivot("synthetic_ratio", metrics, "metric", "value").filter("value is not null")
 
 
+def against_real(results: DataFrame) -> DataFrame:
+    """(synthetic_ratio, delta_diversity, delta_overlap, best_overlap, best_wer): each mix against the one without synthetic rows, and whether it is the best (of equal ones, all)."""
+    same = results.filter("synthetic_ratio = 0").agg(F.max("diversity_overall").alias("d0"), F.max("acoustic_overlap").alias("o0"))
+    top = results.agg(F.max("acoustic_overlap").alias("o1"), F.min("wer_eval").alias("w1"))
+    both = results.crossJoin(F.broadcast(same)).crossJoin(F.broadcast(top))
+    return both.select(
+        "synthetic_ratio", F.bround(F.col("diversity_overall") - F.col("d0"), 4).alias("delta_diversity"), F.bround(F.col("acoustic_overlap") - F.col("o0"), 4).alias("delta_overlap"),
+        F.coalesce(F.col("acoustic_overlap") == F.col("o1"), F.lit(False)).alias("best_overlap"), F.coalesce(F.col("wer_eval") == F.col("w1"), F.lit(False)).alias("best_wer"),
+    )
+
+
+def results_text(results: dict) -> str:
+    """A results file for the console: scores before and after synthetic rows, error rates by ratio with the best marked, and the findings. Parts that are absent are left out."""
+    lines, change = [], results.get("diversity_impact", {})
+    before, after = change.get("before_synthetic", {}), change.get("after_synthetic_added", {})
+    for axis in (k for k in before if k in after and isinstance(before[k], (int, float))):
+        delta = after[axis] - before[axis]
+        lines.append(f"{axis:18s} {before[axis]:.3f} -> {after[axis]:.3f} ({'up' if delta > 0 else 'down'} {abs(delta):.3f})")
+    rows = results.get("wer_ablation", [])
+    least = min((r["wer_overall"] for r in rows), default=None)
+    for r in rows:
+        rest = "  ".join(f"{k[4:]} {r[k]:.1f} %" for k in ("wer_female", "wer_accented", "wer_underrep") if k in r)
+        lines.append(f"{r['synthetic_ratio']:4.0%}  overall {r['wer_overall']:.1f} %  {rest}" + (" *" if r["wer_overall"] == least else ""))
+    return "\n".join([*lines, *(f"- {x}" for x in results.get("key_findings", []))])
+
+
 def curation_text(report: dict) -> str:
     """What a curation run did, for the console."""
     q, d = report["quality"], report["deduplication"]

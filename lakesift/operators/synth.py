@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.operators.gaps import VOICES
+from lakesift.operators.mix import numbered
 from lakesift.operators.quality import Thresholds, inspect_clip
-from lakesift.session import written
 from lakesift.sources.audio import write_wav
 
 SR = 16000
@@ -63,11 +63,7 @@ def generate(plan: DataFrame, folder: str | None = None, backend: Callable[[str,
 
     made = utterances(plan).repartition("plan_pos", "text_pos").mapInPandas(run, "plan_pos long, voice_id string, text_pos int, sentence string, duration_sec double")
     known = voices(plan.sparkSession, catalog).groupBy("voice_id").agg(F.min("gender").alias("gender"), F.min("accent").alias("accent"))
-    made = written(made)  # a voice is asked once
-    sums = made.groupBy(F.col("plan_pos").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))  # a row for each target of the plan
-    sums = sums.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("plan_pos").orderBy("text_pos")) - 1 + F.col("_before")
-    made = made.join(F.broadcast(sums), F.col("plan_pos") == F.col("_p")).withColumn("_n", number).join(F.broadcast(known), "voice_id", "left")
+    made = numbered(made, "_n", "plan_pos", "text_pos").join(F.broadcast(known), "voice_id", "left")
     unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
     path = F.concat(F.lit(f"{folder}/"), F.col("plan_pos"), F.lit("_"), F.col("text_pos"), F.lit(".wav")) if folder else F.lit(None).cast("string")
     return made.select(

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.functions import dsp, signals
+from lakesift.functions.text import words
 from lakesift.operators import ablation, dedup, diversity, gaps, mix, quality, report, wer
+from lakesift.session import shared_folder
+from lakesift.sources import tables
 
 #: Signals are 64 samples at this rate: frames of 16 samples, half-overlapping.
 SR, FRAME = 640, 16
@@ -104,23 +109,27 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), "embedding")
 
 
-def _planes_sql(n_bits: int) -> str:
+def _planes_sql(n_bits: int, source: str = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings") -> str:
     rows = ", ".join(f"({i}, {[float(v) for v in p]})" for i, p in enumerate(dsp.planes(n_bits, 64)))
-    return f"""WITH RECURSIVE planes(i, plane) AS (VALUES {rows}), v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    return f"""planes(i, plane) AS (VALUES {rows}), v AS MATERIALIZED ({source}),
 b AS MATERIALIZED (SELECT id, any_value(e) AS e, sum(CASE WHEN list_dot_product(e, list_transform(plane, lambda x: x::DOUBLE)) > 0 THEN 1 << i ELSE 0 END)::BIGINT AS bucket FROM v, planes GROUP BY id)"""
 
 
-_NEAR_SQL = (
-    _planes_sql(BITS)
-    + f""", r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS rn FROM b),
-s AS MATERIALIZED (SELECT x.bucket, x.id AS a, y.id AS b, x.rn AS ra, y.rn AS rb FROM r x JOIN r y ON x.bucket = y.bucket AND x.rn < y.rn WHERE list_dot_product(x.e, y.e) >= {NEAR}),
+def near_sql(n_bits: int, threshold: float, *source: str) -> str:
+    """Near duplicates in SQL, as CTEs after WITH RECURSIVE; the last is near (id, canonical_id). source gives (id, e)."""
+    return (
+        _planes_sql(n_bits, *source)
+        + f""", r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS rn FROM b),
+s AS MATERIALIZED (SELECT x.bucket, x.id AS a, y.id AS b, x.rn AS ra, y.rn AS rb FROM r x JOIN r y ON x.bucket = y.bucket AND x.rn < y.rn WHERE list_dot_product(x.e, y.e) >= {threshold}),
 fold AS (SELECT bucket, 1::BIGINT AS rn, [id] AS kept, []::STRUCT(id BIGINT, canonical_id BIGINT)[] AS gone FROM r WHERE rn = 1
  UNION ALL SELECT f.bucket, f.rn + 1, CASE WHEN c IS NULL THEN list_append(kept, r.id) ELSE kept END, CASE WHEN c IS NULL THEN gone ELSE list_append(gone, {{'id': r.id, 'canonical_id': c}}) END
  FROM (SELECT f.*, r.id AS nid, (SELECT min(a) FROM s WHERE s.b = r.id AND list_contains(f.kept, s.a)) AS c FROM fold f JOIN r ON r.bucket = f.bucket AND r.rn = f.rn + 1) f JOIN r ON r.id = f.nid),
 last AS (SELECT bucket, gone FROM fold f WHERE rn = (SELECT max(rn) FROM r WHERE r.bucket = f.bucket)),
-near AS (SELECT unnest(gone, recursive := true) FROM last)
-SELECT id, canonical_id FROM near"""
-)
+near AS (SELECT unnest(gone, recursive := true) FROM last)"""
+    )
+
+
+_NEAR_SQL = f"WITH RECURSIVE {near_sql(BITS, NEAR)} SELECT id, canonical_id FROM near"
 
 
 def _by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +200,8 @@ def _plan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _norm(spark, sf_dir).withColumn("accent", accent)
 
 
-def _plan_sql() -> str:
+def _plan_ctes() -> str:
+    """The plan as CTEs; the last is plan, with gen, the place in the order in which targets are made."""
     catalog = ", ".join(f"({k}, '{g}', '{a}', '{v[0]}')" for k, ((g, a), v) in enumerate(gaps.VOICES.items()))
     return _M + f""", p AS (SELECT gender, CASE accent WHEN 'en' THEN 'american' WHEN 'fr' THEN 'british' WHEN 'de' THEN 'indian' ELSE accent END AS accent FROM m),
 catalog(k, gender, accent, voice_id) AS (VALUES {catalog}), n AS (SELECT count(*) AS n, floor(count(*) * 0.6)::BIGINT // 2 AS half FROM p),
@@ -204,8 +214,17 @@ sh AS (SELECT accent, count(*) AS c, count(*) / sum(count(*)) OVER () AS share F
 un AS (SELECT accent FROM catalog UNION SELECT accent FROM (SELECT accent FROM sh ORDER BY c DESC, accent LIMIT 10)),
 ua AS (SELECT un.accent, 1.0 / count(*) OVER () - coalesce(share, 0) AS gap, count(*) OVER () AS a FROM un LEFT JOIN sh ON un.accent = sh.accent),
 aw AS (SELECT accent, gap, least(floor(gap * n * 1.1)::BIGINT, half // a) AS wanted FROM ua, n),
-ats AS (SELECT 1 AS part, 0 AS o1, aw.accent AS o2, CASE gender WHEN 'female' THEN 0 ELSE 1 END AS o3, gender, aw.accent, voice_id, greatest(1, wanted // 2) AS n_samples, 0.8 * gap AS priority FROM aw JOIN catalog ON aw.accent = catalog.accent WHERE gap >= 0.03 AND wanted >= 1)
-SELECT (row_number() OVER (ORDER BY round(priority, 12) DESC, part, o1, o2, o3) - 1)::BIGINT AS plan_pos, gender, accent, voice_id, n_samples::BIGINT AS n_samples, round_even(priority, 6)::DOUBLE AS priority FROM (SELECT * FROM gt UNION ALL SELECT * FROM ats)"""
+ats AS (SELECT 1 AS part, 0 AS o1, aw.accent AS o2, CASE gender WHEN 'female' THEN 0 ELSE 1 END AS o3, gender, aw.accent, voice_id, greatest(1, wanted // 2) AS n_samples, 0.8 * gap AS priority FROM aw JOIN catalog ON aw.accent = catalog.accent WHERE gap >= 0.03 AND wanted >= 1),
+tg AS (SELECT *, row_number() OVER (ORDER BY part, o1, o2, o3) - 1 AS gen FROM (SELECT * FROM gt UNION ALL SELECT * FROM ats)),
+plan AS (SELECT (row_number() OVER (ORDER BY round(priority, 12) DESC, gen) - 1)::BIGINT AS plan_pos, gen, gender, accent, voice_id, n_samples::BIGINT AS n_samples, round_even(priority, 6)::DOUBLE AS priority FROM tg)"""
+
+
+_PLANNED = _plan_ctes()
+_PLAN_SQL = _PLANNED + " SELECT plan_pos, gender, accent, voice_id, n_samples, priority FROM plan"
+_PROMPTS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in gaps.PROMPTS) + "]"
+_TEXTS = _PLANNED + f", texts AS (SELECT *, {_PROMPTS}[((7 * gen + j) % {len(gaps.PROMPTS)})::INT + 1] AS sentence FROM (SELECT *, unnest(range(0, n_samples)) AS j FROM plan))"
+_GENERATED_SQL = _TEXTS + """ SELECT 'syn_' || voice_id || '_' || lpad((row_number() OVER (ORDER BY plan_pos, j) - 1)::VARCHAR, 6, '0') AS id, NULL::VARCHAR AS path, 'tts_' || voice_id AS speaker_id, sentence, 'unknown' AS age, gender, accent, 'synthetic' AS locale,
+ list_sum(list_transform(string_split(sentence, ' '), lambda w: 800 * (2 + len(w) // 2) + 800)) / 16000.0 AS duration_sec, 'synthetic' AS source, voice_id AS tts_voice FROM texts"""
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +236,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakesift.operators import synth
 
-    return synth.generate(gaps.plan_frame(spark, gaps.analyse(_plan_manifest(spark, sf_dir))), gate=None)
+    return synth.generate(gaps.plan_frame(spark, gaps.analyse(_plan_manifest(spark, sf_dir)))).withColumn("duration_sec", F.bround("duration_sec", 6))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +247,77 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"])
 
 
+_EDITS = "list_reduce(list_transform(range(1, len({a}) + 1), lambda i: [i]), lambda last, i: list_reduce(list_transform(range(1, len({b}) + 1), lambda j: [j]), lambda now, j: list_append(now, least(now[-1] + 1, last[j[1] + 1] + 1, last[j[1]] + ({a}[i[1]] <> {b}[j[1]])::BIGINT)), [i[1]]), range(0, len({b}) + 1))[-1]"
+_WER = f"""WITH t AS (SELECT a.conv_id, a.turn, b.role AS next_role, {_WORDS.format('lower(a.text)')} AS r, coalesce({_WORDS.format('lower(b.text)')}, []) AS h, {_WORDS.format('a.text')} AS raw FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'),
+d AS MATERIALIZED (SELECT *, {_EDITS.format(a='r', b='h')} AS wer_edits, len(r) AS wer_words, CASE WHEN len(r) > 0 THEN {_EDITS.format(a='r', b='h')} / len(r) WHEN len(h) > 0 THEN 1 ELSE 0 END AS wer FROM t)"""
+_MICRO = "round_even(100 * CASE WHEN sum(wer_words) > 0 THEN sum(wer_edits) / sum(wer_words) ELSE avg(wer) END, 2)::DOUBLE"
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wer.evaluate_split(_pairs(spark, sf_dir), by="next_role")
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
+
+
+def _tuned(df: DataFrame) -> DataFrame:
+    """The reference without every fifth word as a second hypothesis."""
+    return df.withColumn("tuned", F.array_join(F.filter(words("sentence"), lambda x, i: i % 5 != 4), " "))
+
+
+def _full_pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(real, synthetic, test) with all labels and an embedding."""
+    m = _norm(spark, sf_dir).select("id", "speaker_id", "accent", "gender", "age").join(_vectors(spark, sf_dir).select("id", "embedding"), "id")
+    return m.filter("gender = 'male'").withColumn("source", F.lit("real")), m.filter("gender = 'female'").withColumn("source", F.lit("synthetic")), m.filter("gender is null")
+
+
+def _overlap_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, synthetic, test = _full_pools(spark, sf_dir)
+    return ablation.run(mix.splits(real, synthetic), test, wer_eval=12.5)
+
+
+_OVERLAP_CTES = _M + f""", fe AS (SELECT m.*, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM m JOIN embeddings ON vec_id = id),
+re AS (SELECT *, 'real' AS source FROM fe WHERE gender = 'male'), sy AS (SELECT *, 'synthetic' AS source FROM fe WHERE gender = 'female'), z AS (SELECT (SELECT count(*) FROM re) AS nr, (SELECT count(*) FROM sy) AS ns),
+{_RATIOS}, n AS (SELECT ratio, {_SIZES}),
+ek AS (SELECT p.*, n.*, row_number() OVER (PARTITION BY ratio, source ORDER BY md5('42:' || CASE ratio WHEN 0.0 THEN '0.0' WHEN 1.0 THEN '1.0' ELSE ratio::VARCHAR END || ':' || id), id) AS rn FROM (SELECT * FROM re UNION ALL SELECT * FROM sy) p, n),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ratio ORDER BY md5('42:' || id), id) AS place FROM ek WHERE rn <= CASE source WHEN 'real' THEN n_real ELSE n_syn END),
+ta AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) AS place FROM fe WHERE gender IS NULL) WHERE place <= 200),
+ov AS (SELECT ratio, round_even(avg(s), 4) AS acoustic_overlap FROM (SELECT ratio, ta.id, max(list_dot_product(ta.e, k.e)) AS s FROM ta, k WHERE k.place <= 200 GROUP BY ratio, ta.id) GROUP BY ratio),
+""" + ", ".join(
+    f"h_{c} AS (SELECT ratio, CASE WHEN count(*) <= 1 THEN 0 ELSE sum(-p * ln(p)) / ln(count(*)) END AS v FROM (SELECT ratio, count(*) / sum(count(*)) OVER (PARTITION BY ratio) AS p FROM k WHERE {c} IS NOT NULL GROUP BY ratio, {c}) GROUP BY ratio)" for c in ("gender", "age", "accent")
+) + """, h_speaker AS (SELECT ratio, sum(-p * ln(p + 1e-12)) / ln(count(*) + 1e-12) AS v FROM (SELECT ratio, count(*) / sum(count(*)) OVER (PARTITION BY ratio) AS p FROM k GROUP BY ratio, speaker_id) GROUP BY ratio),
+n2 AS (SELECT ratio, count(*) AS n_total, count(*) FILTER (source = 'real') AS n_real, count(*) FILTER (source = 'synthetic') AS n_synthetic FROM k GROUP BY ratio),
+res AS (SELECT n2.ratio AS synthetic_ratio, n_total, n_real, n_synthetic, dg AS diversity_gender_entropy, da AS diversity_age_entropy, dc AS diversity_accent_entropy, ds AS diversity_speaker_balance, round_even((dg + da + dc + ds) / 4, 4)::DOUBLE AS diversity_overall, acoustic_overlap::DOUBLE AS acoustic_overlap, 12.5::DOUBLE AS wer_eval
+ FROM n2 LEFT JOIN ov USING (ratio) LEFT JOIN (SELECT ratio, round_even(coalesce(g.v, 0), 4)::DOUBLE AS dg, round_even(coalesce(a.v, 0), 4)::DOUBLE AS da, round_even(coalesce(c.v, 0), 4)::DOUBLE AS dc, round_even(coalesce(s.v, 0), 4)::DOUBLE AS ds
+  FROM n2 LEFT JOIN h_gender g USING (ratio) LEFT JOIN h_age a USING (ratio) LEFT JOIN h_accent c USING (ratio) LEFT JOIN h_speaker s USING (ratio)) USING (ratio))"""
+
+
+def _strata(pool: str, n: str) -> str:
+    """Rows of pool, n of them, strata of accents in proportion."""
+    return f"""SELECT id, source FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN rn > quota THEN 1 ELSE 0 END, o, id) AS place FROM (SELECT *, least(c, greatest(1, round_even({n}::DOUBLE * c / total, 0))) AS quota
+ FROM (SELECT id, source, accent, md5('42:' || id) AS o, row_number() OVER (PARTITION BY accent ORDER BY md5('42:' || id), id) AS rn, count(*) OVER (PARTITION BY accent) AS c, count(*) OVER () AS total FROM {pool}))) WHERE place <= {n}"""
+
+
+_MIX_STRATA_SQL = _POOLS + f", ratios AS (SELECT 0.25::DOUBLE AS ratio), n AS (SELECT {_SIZES}) SELECT *, 0.25::DOUBLE AS mix_synthetic_ratio FROM ({_strata('re', '(SELECT n_real FROM n)')} UNION ALL {_strata('sy', '(SELECT n_syn FROM n)')})"
+_FREE_SIZES = _SIZES.replace("CASE WHEN ns = 0 THEN nr ELSE 2 * least(nr, ns) END", "nr + ns")
+
+
+def _tables_round_trip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        where = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        if kind == "parquet":
+            rows = _norm(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.format_string("clips/%d.wav", "id").alias("path"), "gender", "accent")
+            tables.write_parquet(rows, where)
+            return tables.read_manifest(spark, where)
+        if kind == "csv":
+            tables.write_csv(diversity.counts(_norm(spark, sf_dir), "age"), where)
+            return tables.read_csv(spark, where)
+        where = re.sub("^file:/*", "/", where)
+        tables.write_json({"scores": diversity.scores(_norm(spark, sf_dir)).first().asDict(), "none": float("nan")}, where)
+        back = tables.read_json(where)
+        return _rounded(spark.createDataFrame([*((k, float(v)) for k, v in back["scores"].items()), ("none", back["none"])], "metric string, value double"))
+
+    return run
+
+
 def _real_and_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     return v.filter("label < 5"), v.filter("label >= 5")
@@ -307,11 +397,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e2_wer_corpus": lambda s, d: wer.corpus(wer.score(_pairs(s, d)), "next_role"),
     "e5_overlap": lambda s, d: ablation.overlap(*_real_and_test(s, d)),
     "e6_ablation": _ablation,
-    "e7_compare": lambda s, d: wer.compare(_pairs(s, d).withColumn("tuned", F.col("sentence")), "sentence", "hypothesis", "tuned"),
+    "e4_evaluate": _evaluated,
+    "e7_compare": lambda s, d: wer.compare(_tuned(_pairs(s, d)), "sentence", "hypothesis", "tuned"),
+    "e6_overlap": _overlap_ablation,
+    "e8_against_real": lambda s, d: report.against_real(_overlap_ablation(s, d)),
+    "a23_best_overlap": lambda s, d: ablation.best(_overlap_ablation(s, d)),
+    "m1_mix_strata": lambda s, d: mix.mix(*_pools(s, d), 0.25, "stratified").select("id", "source", "mix_synthetic_ratio"),
+    "m1_mix_free": lambda s, d: mix.mix(*_pools(s, d), 0.25, fixed=False).select("id", "source", "mix_synthetic_ratio"),
+    "s2_corpus_sample": lambda s, d: tables.corpus_sample(_table(s, d, "documents").withColumn("row", F.col("doc_id")), 200, id_col="doc_id").select("doc_id", "row", "source", "locale", "source_split"),
+    "s6_parquet": _tables_round_trip("parquet"),
+    "s7_csv": _tables_round_trip("csv"),
+    "s8_json": _tables_round_trip("json"),
     "s10_chart_series": lambda s, d: report.ablation_series(_ablation(s, d)),
     "a23_best": lambda s, d: ablation.best(_ablation(s, d).withColumn("acoustic_overlap", F.col("diversity_overall")).withColumn("wer_eval", F.col("n_total").cast("double"))),
 }
 
+_SCORES_SQL = _M + f"""SELECT round_even(gender_entropy, 6)::DOUBLE AS gender_entropy, round_even(age_entropy, 6)::DOUBLE AS age_entropy, round_even(accent_entropy, 6)::DOUBLE AS accent_entropy, round_even(speaker_balance, 6)::DOUBLE AS speaker_balance,
+ round_even((gender_entropy + age_entropy + accent_entropy + speaker_balance) / 4, 6)::DOUBLE AS overall FROM {_entropy_sql('gender', 'gender_entropy')}, {_entropy_sql('age', 'age_entropy')}, {_entropy_sql('accent', 'accent_entropy')}, {_BALANCE}"""
 _PASS = "len(fail_reasons) = 0"
 ORACLES: dict[str, str] = {
     "s1_manifest": _M + "SELECT id, speaker_id, accent, gender, age, round_even(duration_sec, 6)::DOUBLE AS duration_sec FROM raw",
@@ -325,14 +427,13 @@ ORACLES: dict[str, str] = {
     "a8_normalised_entropy": _M + f"SELECT round_even(value, 6)::DOUBLE AS value FROM {_entropy_sql('accent')}",
     "a9_imbalance": _M + "SELECT round_even(max(n) / (median(n) + 1e-6), 6)::DOUBLE AS value FROM (SELECT count(*) AS n FROM m WHERE speaker_id IS NOT NULL GROUP BY speaker_id)",
     "a10_balance": _M + f"SELECT round_even(speaker_balance, 6)::DOUBLE AS value FROM {_BALANCE}",
-    "a11_scores": _M + f"""SELECT round_even(gender_entropy, 6)::DOUBLE AS gender_entropy, round_even(age_entropy, 6)::DOUBLE AS age_entropy, round_even(accent_entropy, 6)::DOUBLE AS accent_entropy, round_even(speaker_balance, 6)::DOUBLE AS speaker_balance,
- round_even((gender_entropy + age_entropy + accent_entropy + speaker_balance) / 4, 6)::DOUBLE AS overall FROM {_entropy_sql('gender', 'gender_entropy')}, {_entropy_sql('age', 'age_entropy')}, {_entropy_sql('accent', 'accent_entropy')}, {_BALANCE}""",
+    "a11_scores": _SCORES_SQL,
     "a12_sentence_stats": _M + f"SELECT {_MOMENTS.format('n')} FROM (SELECT len({_W})::DOUBLE AS n FROM m WHERE sentence IS NOT NULL)",
     "a13_vocabulary": _M + f"SELECT count(DISTINCT w) AS vocabulary_size FROM (SELECT unnest({_WL}) AS w FROM m)",
     "a14_domains": _M + f"SELECT round_even(100 * avg((n <= 5)::INT), 6)::DOUBLE AS short_pct, round_even(100 * avg((n BETWEEN 6 AND 15)::INT), 6)::DOUBLE AS medium_pct, round_even(100 * avg((n > 15)::INT), 6)::DOUBLE AS long_pct FROM (SELECT len({_W}) AS n FROM m WHERE sentence IS NOT NULL)",
     "a15_duration_stats": _M + f"SELECT round_even(sum(d) / 3600, 6) AS total_hours, {_MOMENTS.format('d')} FROM (SELECT duration_sec::DOUBLE AS d FROM m)",
     "f1_signal_features": _F + "SELECT * FROM f",
-    "f12_cosine_bucket": _planes_sql(18) + " SELECT id, round_even(list_dot_product(e, e), 6)::DOUBLE AS norm2, bucket FROM b",
+    "f12_cosine_bucket": "WITH " + _planes_sql(18) + " SELECT id, round_even(list_dot_product(e, e), 6)::DOUBLE AS norm2, bucket FROM b",
     "p4_quality_gate": _F + f"SELECT *, {_PASS} AS passes FROM g",
     "a16_quality_summary": _F + f"""SELECT count(*) AS total, count(*) FILTER ({_PASS}) AS passed, count(*) FILTER (NOT {_PASS}) AS failed, round_even(count(*) FILTER ({_PASS}) / greatest(count(*), 1), 6)::DOUBLE AS pass_rate, round_even(avg(snr_db), 6)::DOUBLE AS mean_snr_db,
  round_even(avg(duration_sec), 6)::DOUBLE AS mean_duration_sec, round_even(avg(silence_ratio), 6)::DOUBLE AS mean_silence_ratio, round_even(count(*) FILTER (is_clipped) / greatest(count(*), 1), 6)::DOUBLE AS clipping_rate FROM g""",
@@ -340,6 +441,7 @@ ORACLES: dict[str, str] = {
     "d1_exact": f"SELECT id, first AS canonical_id FROM ({_EXACT_SQL})",
     "d3_near": _NEAR_SQL,
     "d3_near_blocks": _NEAR_SQL,
+    "d3_near_default": f"WITH RECURSIVE {near_sql(dedup.N_BITS, dedup.THRESHOLD)} SELECT id, canonical_id FROM near",
     "d4_keep": f"SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM ({_EXACT_SQL}))",
     "a18_dedup_report": f"""SELECT n AS n_input, r AS exact_duplicates, 0::BIGINT AS near_duplicates, g AS exact_groups, 0::BIGINT AS near_groups, r AS n_removed, n - r AS n_kept, round_even((n - r) / greatest(n, 1), 6)::DOUBLE AS retention_rate
  FROM (SELECT count(*) AS n FROM documents), (SELECT count(*) AS r, count(DISTINCT first) AS g FROM ({_EXACT_SQL}))""",
@@ -350,12 +452,35 @@ ORACLES: dict[str, str] = {
     "m3_stratified": _STRATIFIED_SQL,
     "m4_splits": _SPLITS_SQL + "SELECT id, source, ratio AS mix_synthetic_ratio FROM k",
     "m5_balance": _BALANCED_SQL,
-    "g1_plan": _plan_sql(),
+    "g1_plan": _PLAN_SQL,
+    "g4_texts": _TEXTS + " SELECT plan_pos, j::INT AS j, sentence FROM texts",
+    "g6_generated": _GENERATED_SQL,
     "g7_delta": _POOLS.replace("SELECT id, accent, 'real'", "SELECT id, accent, speaker_id, 'real'").replace("SELECT id, accent, 'synthetic'", "SELECT id, accent, speaker_id, 'synthetic'")
     + f", al AS (SELECT * FROM re UNION ALL SELECT * FROM sy) SELECT round_even(y.accent_entropy - x.accent_entropy, 4)::DOUBLE AS delta_accent_entropy, round_even(y.speaker_balance - x.speaker_balance, 4)::DOUBLE AS delta_speaker_balance, round_even(y.overall - x.overall, 4)::DOUBLE AS delta_overall FROM ({_scores_sql('re')}) x, ({_scores_sql('al')}) y",
     "p7_holdout": _M + "SELECT id, CASE WHEN rn <= least(n, greatest(50, n // 10)) THEN 'test' ELSE 'train' END AS part FROM (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn, count(*) OVER () AS n FROM m)",
     "e5_overlap": _OVERLAP_SQL,
+    "e1_wer": _WER + " SELECT conv_id, turn, wer_edits::BIGINT AS wer_edits, wer_words::BIGINT AS wer_words, round_even(wer, 6)::DOUBLE AS wer FROM d",
+    "e2_wer_corpus": _WER + f' SELECT next_role AS "group", count(*) AS n_samples, {_MICRO} AS wer FROM d GROUP BY next_role',
+    "e4_evaluate": _WER + f" SELECT 'n_samples' AS metric, count(*)::DOUBLE AS value FROM d UNION ALL SELECT 'wer', {_MICRO} FROM d UNION ALL SELECT 'wer_' || next_role, {_MICRO} FROM d GROUP BY next_role",
+    "e7_compare": _WER + f""", s AS (SELECT round_even(100 * sum(wer_edits) / sum(wer_words), 2)::DOUBLE AS base_wer, round_even(100 * sum({_EDITS.format(a='r', b='y')}) / sum(wer_words), 2)::DOUBLE AS tuned_wer FROM (SELECT *, list_transform(list_filter(raw, lambda x, i: (i - 1) % 5 <> 4), lambda x: lower(x)) AS y FROM d))
+SELECT base_wer, tuned_wer, round_even(tuned_wer - base_wer, 2)::DOUBLE AS delta, CASE WHEN base_wer > 0 THEN round_even(100 * (base_wer - tuned_wer) / base_wer, 1)::DOUBLE END AS relative_pct, CASE WHEN tuned_wer < base_wer THEN 'improvement' ELSE 'regression' END AS direction FROM s""",
+    "e6_overlap": _OVERLAP_CTES + " SELECT * FROM res",
+    "e8_against_real": _OVERLAP_CTES + """ SELECT synthetic_ratio, round_even(diversity_overall - (SELECT diversity_overall FROM res WHERE synthetic_ratio = 0), 4)::DOUBLE AS delta_diversity, round_even(acoustic_overlap - (SELECT acoustic_overlap FROM res WHERE synthetic_ratio = 0), 4)::DOUBLE AS delta_overlap,
+ acoustic_overlap = (SELECT max(acoustic_overlap) FROM res) AS best_overlap, wer_eval = (SELECT min(wer_eval) FROM res) AS best_wer FROM res""",
+    "a23_best_overlap": _OVERLAP_CTES + " SELECT arg_max(synthetic_ratio, (acoustic_overlap, -synthetic_ratio)) AS best_overlap_ratio, arg_min(synthetic_ratio, (wer_eval, synthetic_ratio)) AS best_wer_ratio FROM res",
+    "m1_mix_strata": _MIX_STRATA_SQL,
+    "m1_mix_free": _mix_sql(0.25).replace(_SIZES, _FREE_SIZES),
+    "s2_corpus_sample": "SELECT printf('cv_en_train_%06d', row_number() OVER (ORDER BY doc_id) - 1) AS doc_id, doc_id AS row, source, 'en' AS locale, 'train' AS source_split FROM (SELECT * FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 200)",
+    "s6_parquet": _M + "SELECT id::VARCHAR AS id, printf('clips/%d.wav', id) AS path, gender, accent, 'real' AS source FROM m",
+    "s7_csv": _dist_sql("age"),
+    "s8_json": "SELECT * FROM (UNPIVOT (" + _SCORES_SQL + ") ON gender_entropy, age_entropy, accent_entropy, speaker_balance, overall INTO NAME metric VALUE value) UNION ALL SELECT 'none', NULL",
     "e6_ablation": _ABLATION_SQL,
     "s10_chart_series": f"SELECT synthetic_ratio, metric, value FROM (UNPIVOT ({_ABLATION_SQL}) ON diversity_accent_entropy, diversity_overall INTO NAME metric VALUE value)",
     "a23_best": f"SELECT arg_max(synthetic_ratio, (diversity_overall, -synthetic_ratio)) AS best_overlap_ratio, arg_min(synthetic_ratio, (n_total, synthetic_ratio)) AS best_wer_ratio FROM ({_ABLATION_SQL})",
 }
+
+
+from lakesift.plans import audio_queries  # noqa: E402
+
+QUERIES |= audio_queries.QUERIES
+ORACLES |= audio_queries.oracles()

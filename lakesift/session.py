@@ -19,12 +19,18 @@ def session(app: str = "lakesift", **conf: str) -> SparkSession:
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir), so that row numbers and the like are the same in all jobs and outlive executors. Only a local master gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master without it gets a folder of its own."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not where and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lakesift-"))
+    return (where or sc.getCheckpointDir()).rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that row numbers and the like are the same in all jobs and outlive executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

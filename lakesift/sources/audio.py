@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import wave
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,18 @@ def write_wav(path: str, x: np.ndarray, sr: int) -> None:
         f.writeframes((np.clip(np.asarray(x, np.float64), -1, 1) * 32767).astype("<i2").tobytes())
 
 
+def encode_wav(pcm: np.ndarray, sr: int, width: int = 2, channels: int = 1) -> bytes:
+    """A WAV file of 16-bit samples, written in width bytes (2, 3 or 4), the same in each channel."""
+    wide = (np.asarray(pcm, np.int64) << 8 * (width - 2)).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width]
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(width)
+        f.setframerate(sr)
+        f.writeframes(np.repeat(wide[:, None], channels, axis=1).tobytes())
+    return out.getvalue()
+
+
 def lists(arrays: list[np.ndarray], kind: pa.DataType = pa.float32()) -> pa.ListArray:
     """Arrays as one Arrow column, without a Python object for each value."""
     ends = np.cumsum([len(x) for x in arrays], dtype=np.int64)
@@ -99,7 +112,7 @@ def write_clips(clips: DataFrame, folder: str, id_col: str = "id") -> DataFrame:
         for batch in batches:
             paths = [os.path.join(folder, f"{i}.wav") for i in batch[id_col]]
             for p, x, sr in zip(paths, batch["samples"], batch["sr"]):
-                write_wav(p, np.asarray(x), int(sr))
+                write_wav(re.sub("^file:/*", "/", p), np.asarray(x), int(sr))
             yield pd.DataFrame({id_col: batch[id_col], "path": paths})
 
     return clips.select(id_col, "samples", "sr").mapInPandas(run, f"{id_col} {clips.schema[id_col].dataType.simpleString()}, path string")

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.operators.mix import sample
+from lakesift.operators.mix import numbered, sample
 
 
 def read_manifest(spark: SparkSession, path: str, source: str | None = "real") -> DataFrame:
@@ -54,6 +54,8 @@ def read_json(path: str) -> dict:
         return json.load(f)
 
 
-def corpus_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """n rows of a corpus table in its order, with ids as a download has them."""
-    return sample(df, n, seed, id_col).orderBy(id_col)
+def corpus_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id", locale: str = "en", split: str = "train") -> DataFrame:
+    """n rows of a corpus table in its order, with new ids that count them (cv_LOCALE_SPLIT_000000), locale and source_split."""
+    rows = numbered(sample(df, n, seed, id_col), "_n", id_col).orderBy("_n")
+    new = F.format_string(f"cv_{locale}_{split}_%06d", "_n")
+    return rows.withColumns({id_col: new, "locale": F.lit(locale), "source_split": F.lit(split)}).drop("_n")
