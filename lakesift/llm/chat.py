@@ -5,10 +5,10 @@ States are the roles, each as the first line of a turn or a further one. A line
 for a turn's first line; trusted but not beyond doubt) and its features: is it the first of a row, its length, a question mark at its end, a blank line before it. Transitions and emissions are
 counts, smoothed, from labelled lines: a bounded sample of conversations, chosen by hash (MAX_TRAINING of them, a parameter).
 
-Conversations are grouped once; a Python worker sees whole conversations, and Viterbi goes through all conversations of a batch at once, line by line.
+Conversations are grouped once, as each is one row of the result; a Python worker sees whole conversations, and Viterbi goes through all conversations of a batch at once, line by line.
 
 Defined cases: a null or unknown role is no marker; the model decides. A null text is an empty turn, and is dropped as such. Null turns come first; turns with equal numbers go by
-role, then text. Rows that repeat are turns that repeat. A null conv_id is a conversation. An empty table gives an empty one. Extra columns aren't carried. A
+role, then text. Rows that repeat are turns that repeat. A row with a null conv_id is a conversation of its own. An empty table gives an empty one. Extra columns aren't carried. A
 marker inside a text begins a turn if the model agrees. Neighbouring turns of one role become one.
 """
 
@@ -140,18 +140,22 @@ def render(found: list[tuple[str, str]]) -> str:
 
 def fit(conversations: DataFrame, max_training: int = MAX_TRAINING) -> dict[str, np.ndarray]:
     """A model from at most max_training conversations."""
-    some = conversations.select(F.col("conv_id").alias("c")).distinct().orderBy(F.xxhash64("c"), "c").limit(max_training)
-    own = conversations.join(F.broadcast(some), F.col("conv_id").eqNullSafe(F.col("c")))
+    conversations = conversations.select("conv_id", "turn", "role", "text")
+    some = conversations.select(F.col("conv_id").alias("c")).filter("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(max_training)
+    own = conversations.join(F.broadcast(some), F.col("conv_id") == F.col("c"))
     return train([([t.role for t in r.turns], [t.text for t in r.turns]) for r in grouped(own).select("turns").toLocalIterator()])
 
 
 def grouped(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns): turns in order."""
-    return conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    """(conv_id, turns): turns in order. Rows without a conv_id aren't gathered."""
+    turn = F.struct("turn", "role", "text")
+    known = conversations.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return known.unionByName(conversations.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
 
 
 def format_chats(conversations: DataFrame, model: dict[str, np.ndarray] | None = None, own: bool = True) -> DataFrame:
     """(conv_id, n_lines, n_turns, roles, chat) of conversations (conv_id, turn, role, text). own: whether the roles are markers."""
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     model = fit(conversations) if model is None else model
     shared = conversations.sparkSession.sparkContext.broadcast(model)
 
