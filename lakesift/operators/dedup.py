@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.functions.signals import dot, sign_bucket
+from lakesift.operators.mix import numbered
+from lakesift.session import written
 
-#: Rows of a bucket above which its kept rows are compared in blocks rather than one expression.
 THRESHOLD, N_BITS = 0.97, 18
+#: Rows of a bucket that one task holds at most; larger buckets are worked off in blocks of so many.
+BLOCK = 4096
 
 
 def exact(df: DataFrame, key: str = "md5", id_col: str = "id", pos: str = "pos") -> DataFrame:
@@ -37,26 +40,74 @@ def near(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim:
     return many.select(F.inline(F.aggregate("rows", start, fold)["gone"])).withColumnRenamed("id", id_col)
 
 
+def _leaders(ids: list, v: np.ndarray, threshold: float) -> tuple[list[int], list[tuple]]:
+    """(places of the rows that stay, (id, canonical id) of the others), in order."""
+    kept, n, gone = np.zeros(len(ids), np.int64), 0, []
+    for k in range(len(ids)):
+        hit = np.flatnonzero(v[kept[:n]] @ v[k] >= threshold) if n else ()
+        if len(hit):
+            gone.append((ids[k], ids[kept[hit[0]]]))
+        else:
+            kept[n], n = k, n + 1
+    return kept[:n].tolist(), gone
+
+
 def near_blocks(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim: int = 40, vector: str = "embedding", id_col: str = "id", pos: str = "pos") -> DataFrame:
-    """The same by matrix products in Arrow groups: for large buckets."""
+    """The same by matrix products in Arrow groups, one for each bucket of up to BLOCK rows; larger buckets go by blocks, see _large_buckets."""
     kind = df.schema[id_col].dataType.simpleString()
     hashed = df.select(F.col(id_col).alias("i"), F.col(pos).alias("p"), F.col(vector).alias("v"), sign_bucket(F.col(vector), n_bits, dim).alias("bucket"))
-    crowd = hashed.groupBy("bucket").count().filter("count > 1").drop("count")
+    sizes = hashed.groupBy("bucket").count().filter("count > 1")
+    large = sizes.filter(F.col("count") > BLOCK).select("bucket")
 
-    def leaders(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["p", "i"], kind="stable")
-        v, ids = np.stack(rows.v.to_numpy()).astype(np.float64), rows.i.tolist()
-        kept = np.zeros(len(ids), np.int64)
-        n, out = 0, []
-        for k in range(len(ids)):
-            hit = np.flatnonzero(v[kept[:n]] @ v[k] >= threshold) if n else ()
-            if len(hit):
-                out.append((ids[k], ids[kept[hit[0]]]))
-            else:
-                kept[n], n = k, n + 1
-        return pd.DataFrame(out, columns=[id_col, "canonical_id"])
-
-    return hashed.join(crowd, "bucket", "left_semi").groupBy("bucket").applyInPandas(leaders, f"{id_col} {kind}, canonical_id {kind}")
+        return pd.DataFrame(_leaders(rows.i.tolist(), np.stack(rows.v.to_numpy()).astype(np.float64), threshold)[1], columns=[id_col, "canonical_id"])
+
+    schema = f"{id_col} {kind}, canonical_id {kind}"
+    small = hashed.join(sizes.filter(F.col("count") <= BLOCK).select("bucket"), "bucket", "left_semi").groupBy("bucket").applyInPandas(run, schema)
+    return small.unionByName(_large_buckets(hashed.join(large, "bucket", "left_semi"), threshold, id_col, kind)) if large.head(1) else small
+
+
+def _large_buckets(rows: DataFrame, threshold: float, id_col: str, kind: str) -> DataFrame:
+    """(id, canonical_id) of (i, p, v, bucket), block by block in order: a block's rows that stay are its leaders; all later rows of the bucket, in parts, are held against them and go
+    if they are similar, to the first such. A row that outlives all blocks before its own has met every row kept before it, so the result is that of one task with the whole bucket."""
+    rest = numbered(rows, "_n", "bucket", "p", "i")
+    first = rest.groupBy("bucket").agg(F.min("_n").alias("_first"))
+    rest = written(rest.join(F.broadcast(first), "bucket").withColumn("block", F.floor((F.col("_n") - F.col("_first")) / BLOCK)).drop("_first"))
+    empty = "i " + kind + ", c " + kind
+    gone, last = [], rest.agg(F.max("block")).first()[0]
+
+    def lead(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("_n", kind="stable")
+        kept, out = _leaders(table.i.tolist(), np.stack(table.v.to_numpy()).astype(np.float64), threshold)
+        stay = table.iloc[kept]
+        return pd.DataFrame({"i": [*stay.i, *(x for x, _ in out)], "c": [*[None] * len(stay), *(c for _, c in out)], "n": [*stay._n, *[-1] * len(out)], "v": [*stay.v, *[None] * len(out)], "bucket": table.bucket.iloc[0]})
+
+    def meet(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        if not len(members) or not len(leaders):
+            return pd.DataFrame([], columns=["i", "c"])
+        leaders = leaders.sort_values("n", kind="stable")
+        near = np.stack(members.v.to_numpy()).astype(np.float64) @ np.stack(leaders.v.to_numpy()).astype(np.float64).T >= threshold
+        hit = near.any(1)
+        return pd.DataFrame({"i": members.i[hit], "c": leaders.i.to_numpy()[near[hit].argmax(1)]})
+
+    for block in range(int(last) + 1):
+        mine = rest.filter(F.col("block") == block)
+        led = written(mine.groupBy("bucket").applyInPandas(lead, f"i {kind}, c {kind}, n long, v {rest.schema['v'].dataType.simpleString()}, bucket long"))
+        gone.append(led.filter("n < 0").select("i", "c"))
+        later = rest.filter(F.col("block") > block)
+        parts = later.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        members = later.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("_n"), F.col("parts")).cast("int")).groupBy("bucket", "part")
+        leaders = led.filter("n >= 0").join(F.broadcast(parts), "bucket").select(F.col("bucket").alias("b2"), "i", "n", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p2")).groupBy("b2", "p2")
+        hits = written(members.cogroup(leaders).applyInPandas(meet, empty))
+        gone.append(hits)
+        rest = written(later.join(hits, "i", "left_anti"))
+        if not rest.head(1):
+            break
+    out = gone[0]
+    for x in gone[1:]:
+        out = out.unionByName(x)
+    return out.select(F.col("i").alias(id_col), F.col("c").alias("canonical_id"))
 
 
 def assign(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim: int = 40, key: str = "md5", vector: str = "embedding", id_col: str = "id", pos: str = "pos", blocks: bool = False) -> DataFrame:

@@ -110,6 +110,21 @@ def test_near_variants_agree(spark):
         assert {tuple(r) for r in dedup.near(df, 0.8, bits, 8).collect()} == {tuple(r) for r in dedup.near_blocks(df, 0.8, bits, 8).collect()} != set()
 
 
+@pytest.mark.parametrize("ids", ["number", "text"])
+def test_large_buckets_go_by_blocks(spark, monkeypatch, ids):
+    """A hot bucket of many blocks has the result of one fold over it."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 8))
+    v = base[rng.integers(0, 30, 200)] + rng.normal(0, 0.35, (200, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(k if ids == "number" else f"r{k:03d}", int(k * 7 % 200), x.tolist()) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, f"id {'long' if ids == 'number' else 'string'}, pos int, embedding array<double>")
+    want = {tuple(r) for r in dedup.near(df, 0.8, 0, 8).collect()}
+    monkeypatch.setattr(dedup, "BLOCK", 32)
+    got = [tuple(r) for r in dedup.near_blocks(df, 0.8, 0, 8).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+
+
 def _distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
