@@ -48,19 +48,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: it is computed once, and what is lost with an executor is read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder, under the application's id, and reads it back: it is computed once, and what is lost with an executor is read again."""
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lakesift-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that cut wrote in this application: to be called when none of its results is read any more."""
+    _delete(spark, _own_dir(spark))
+
+
 def forget(df: DataFrame, folder: str) -> None:
     """Deletes the table that cut wrote, once nothing reads it any more."""
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if path.rpartition("/")[2].startswith(f"{folder}-"):
-            target = hadoop(path)
-            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -46,3 +46,15 @@ def test_drop_copies(spark, table, monkeypatch):
     want = rows()
     splits_after(monkeypatch, spark, ngram_join, "ngram-gone")
     assert rows() == want and len(want) < table.count()
+
+
+def test_sweep(spark):
+    import os
+
+    from lakesift.llm.common import _own_dir, cut, sweep
+
+    before = cut(spark.range(3), "one")
+    assert before.count() == 3 and os.path.isdir(_own_dir(spark))
+    sweep(spark)
+    assert not os.path.exists(_own_dir(spark))
+    assert cut(spark.range(3), "two").count() == 3
