@@ -110,7 +110,7 @@ def _large_buckets(rows: DataFrame, threshold: float, id_col: str, kind: str) ->
     return out.select(F.col("i").alias(id_col), F.col("c").alias("canonical_id"))
 
 
-def assign(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim: int = 40, key: str = "md5", vector: str = "embedding", id_col: str = "id", pos: str = "pos", blocks: bool = False) -> DataFrame:
+def assign(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim: int = 40, key: str = "md5", vector: str = "embedding", id_col: str = "id", pos: str = "pos", blocks: bool = True) -> DataFrame:
     """(id, canonical_id, kind) of all rows that go: exact ones, then near ones among the others. ids are unique."""
     first = exact(df, key, id_col, pos)
     rest = df.join(first.select(id_col), id_col, "left_anti")

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.operators import ablation, dedup, diversity, gaps, mix, quality, synth
+from lakesift.operators import ablation, charts, dedup, diversity, gaps, mix, quality, synth
 from lakesift.session import written
 from lakesift.sources import audio, tables
 
@@ -38,6 +38,7 @@ def curate(manifest: DataFrame, clips: DataFrame, thresholds: quality.Thresholds
     if out:
         tables.write_parquet(kept, f"{out}/filtered_manifest.parquet")
         tables.write_json(report, f"{out}/curation_report.json")
+        charts.save_report(manifest.sparkSession, report, f"{out}/charts")
     return kept, report
 
 
@@ -73,4 +74,5 @@ def ablate(real: DataFrame, synthetic: DataFrame, ratios: tuple[float, ...] = mi
     results = ablation.run(splits, test if "embedding" in test.columns else None, wer_eval=wer_eval, seed=seed)
     if out:
         ablation.save(results, out)
+        charts.save_ablation(results, f"{out}/charts")
     return results
