@@ -393,8 +393,9 @@ def test_title_links(spark):
     nav = lambda *labels: "<title>Own page</title><ul>" + "".join(f'<li><a href="/x">{x}</a></li>' for x in labels) + "</ul>"
     rows = [(1, "http://a.example/1", nav("Big", "news")), (2, "http://a.example/2", nav("Big", "news")), (3, "http://b.example/", "<title>Big news today</title>"), (4, "http://b.example/2", "<title>Big news again</title>"),
             (5, "http://aa.example/", "<title>Big news of aa</title>"), (6, "http://c.example/", nav("Own")), (7, None, nav("Big")), (8, "http://d.example/", None)]
+    rows += [(9 + k, f"http://z{k}.example/", "<title>Big news</title>") for k in range(4)]
     got = {(r.src, r.dst, r.n) for r in url_filters.title_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {("a.example", "b.example", 2), ("c.example", "a.example", 1)}
+    assert got == {("a.example", "b.example", 2), ("a.example", "aa.example", 2), ("a.example", "z0.example", 2), ("c.example", "a.example", 1)}
 
 
 def test_mix_meets_the_schedule(spark):
