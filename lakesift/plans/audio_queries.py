@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakesift.operators import dedup, quality
 from lakesift.plans import curation
-from lakesift.session import shared_folder
+from lakesift.session import shared_folder, written
 from lakesift.sources import audio
 
 #: Rate and samples of a clip; samples between two changes of its loudness; a clip in BROKEN can't be read, one in COPIES sounds like the one before it.
@@ -65,7 +65,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/clips-{uuid.uuid4().hex}"
     there = clips(spark, sf_dir).filter("load_error is null")
     manifest = audio.write_clips(there, folder).withColumn("path", F.when(F.col("id") % 10 == 5, F.concat("path", F.lit(".lost"))).otherwise(F.col("path")))
-    return audio.load_clips(spark.createDataFrame(manifest.collect(), manifest.schema), folder, SR)
+    return audio.load_clips(written(manifest), folder, SR)
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
