@@ -7,7 +7,8 @@ thresholds mean the same for every graph; what reaches a host without links on i
 many of them is split (SPLIT), so that it isn't one task; each round joins ranks with edges and sums at the target, with partial sums before the shuffle. Every STEP rounds
 ranks are written, and it ends when what can still come to any host is below TOLERANCE: ranks only grow, and what STEP rounds add is at most damping^STEP of what the STEP rounds before added.
 
-A page that has no absolute links may still refer to others: a navigation whose labels are the first words of another page's title is a link to the hosts that have this title most often (title_links).
+A page that has no absolute links may still refer to others: a navigation whose labels are the first words of another page's title is a link to every host that has this title (title_links).
+Where many hosts have such a navigation and many the title, their pairs aren't written out: links go through a hub, a node that hands on what it gets in the same round (through_hubs). Ranks are the same either way.
 
 Defined cases: a page whose url is null or has no host has no host, no edges, and stays. A null html has no links. Relative links stay in
 the host and make no edge of themselves. Links to hosts outside the table count. Repeated links and repeated rows count as often as they come. Ties at the threshold stay. Of an empty table comes an empty
@@ -16,10 +17,10 @@ one. Extra columns stay; host, trust, distrust and rounds are overwritten.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import cut, forget
+from lakesift.llm.common import cut, forget, numbered
 
 #: Seeds: hosts under these domains are trusted; hosts with these words in a label are blocked.
 TRUSTED, BLOCKED = ("edu", "gov", "ac.uk"), ("casino", "pills", "spam", "porn", "viagra", "warez", "malware", "phishing", "xxx")
@@ -33,8 +34,8 @@ LINK = "(?i)href\\s*=\\s*[\"']?\\s*((?:https?:)?//[^/?#\"'\\s>]+)"
 LABEL, TITLE = "<li><a href=\"/[^\"]*\">([^<]*)</a>", "<title>([^<]*)</title>"
 #: Domains of the trusted seeds in the query.
 SEEDS = ("example.org",)
-#: Hosts that a title may stand for.
-TARGETS = 3
+#: Pairs of hosts that are written out for a phrase, for each of the hosts that have it in a navigation or a title; a phrase of more pairs is a hub. How names of hubs begin: no host's can.
+SPREAD, HUB = 32, "#"
 _SEEDS_RE = "(^|\\.)(" + "|".join(x.replace(".", "\\.") for x in SEEDS) + ")$"
 _TRUSTED_RE = "(^|\\.)(" + "|".join(x.replace(".", "\\.") for x in TRUSTED) + ")$"
 _BLOCKED_RE = "(^|[.-])(" + "|".join(BLOCKED) + ")([.-]|$)"
@@ -55,23 +56,46 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def title_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, n): pages whose navigation labels are the first words of a title, by the hosts that have the title: the TARGETS ones with the most such pages, of equal ones the first by name.
+    """(src, dst, n): pages whose navigation labels are the first words of a title, by the hosts that have the title: all of them.
 
-    A phrase that many hosts have makes no more edges than that; only the best hosts of each partition move for it.
+    Phrases with more than SPREAD pairs for each of their rows are hubs: (src, hub, n) and (hub, dst, 1) in place of the pairs. So there are no more rows than SPREAD for each row of told and owner.
     """
     labels = F.regexp_extract_all(F.col(html), F.lit(LABEL), 1)
     told = pages.select(host_of(F.col(url)).alias("src"), labels.alias("x")).filter("src is not null and size(x) > 0").groupBy("src", F.array_join("x", " ").alias("phrase"), F.size("x").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    told = cut(told, "titles-told")
     title = F.split(F.regexp_extract(html, TITLE, 1), " ")
     first = F.explode(F.transform(F.sequence(F.lit(1), F.size("x")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("x", F.lit(1), k), " ").alias("phrase"))))
-    named = pages.select(host_of(F.col(url)).alias("dst"), title.alias("x")).filter("dst is not null").select("dst", first.alias("p")).groupBy("dst", "p.k", "p.phrase").agg(F.count(F.lit(1)).alias("m"))
-    best = F.row_number().over(Window.partitionBy("k", "phrase").orderBy(F.desc("m"), "dst"))
-    owner = named.withColumn("r", best).filter(F.col("r") <= TARGETS).select("k", "phrase", "dst")
-    return told.join(owner, ["k", "phrase"]).filter("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    named = pages.select(host_of(F.col(url)).alias("dst"), title.alias("x")).filter("dst is not null").select("dst", first.alias("p")).select("dst", "p.k", "p.phrase").distinct()
+    sources = told.groupBy("k", "phrase").agg(F.count(F.lit(1)).alias("sources"))
+    owner = cut(named.join(sources.select("k", "phrase"), ["k", "phrase"], "left_semi"), "titles-owner")
+    phrases = sources.join(owner.groupBy("k", "phrase").agg(F.count(F.lit(1)).alias("owners")), ["k", "phrase"])
+    phrases = numbered(phrases, "id", "titles-phrases")
+    many = F.col("sources") * F.col("owners") > SPREAD * (F.col("sources") + F.col("owners"))
+    pairs = told.join(phrases.filter(~many).select("k", "phrase"), ["k", "phrase"]).join(owner, ["k", "phrase"]).filter("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    hubs = phrases.filter(many).select("k", "phrase", F.concat(F.lit(HUB), F.col("id").cast("string")).alias("hub"))
+    if not hubs.head(1):
+        return pairs
+    into, out = told.join(hubs, ["k", "phrase"]).select("src", F.col("hub").alias("dst"), "n"), owner.join(hubs, ["k", "phrase"]).select(F.col("hub").alias("src"), "dst", F.lit(1).cast("bigint").alias("n"))
+    return pairs.unionByName(into).unionByName(out)
+
+
+def through_hubs(edges: DataFrame) -> DataFrame:
+    """edges (side, src, dst, n) such that shares of n are those of the pairs that hubs stand for: src to hub with n and hub to dst with m is an edge from src to dst with n * m, unless they are one.
+
+    What goes into a hub counts as often as goes out of it; what would come back to its own host is taken off by an edge to itself.
+    """
+    into, out = edges.filter(F.col("dst").startswith(HUB)), edges.filter(F.col("src").startswith(HUB))
+    wide = into.join(out.groupBy("side", F.col("src").alias("dst")).agg(F.sum("n").alias("all")), ["side", "dst"]).select("side", "src", "dst", (F.col("n") * F.col("all")).alias("n"))
+    back = into.join(out.select("side", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("n").alias("m")), ["side", "src", "dst"]).groupBy("side", "src").agg((-F.sum(F.col("n") * F.col("m"))).alias("n"))
+    return edges.filter(~F.col("dst").startswith(HUB)).unionByName(wide).unionByName(back.select("side", "src", F.col("src").alias("dst"), "n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, step: int = STEP) -> tuple[DataFrame, int]:
-    """((side, host, rank), rounds): personalised PageRank of edges (side, src, dst, n) from seeds (side, host), for each side on its own."""
-    total = edges.groupBy("side", "src").agg(F.sum("n").alias("total"), F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
+    """((side, host, rank), rounds): personalised PageRank of edges (side, src, dst, n) from seeds (side, host), for each side on its own. Edges may go through hubs."""
+    hubs = bool(edges.filter(F.col("src").startswith(HUB)).head(1))
+    if hubs:
+        edges = cut(through_hubs(edges), "host-hubs")
+    total = edges.groupBy("side", "src").agg(F.sum("n").alias("total"), F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")).filter("total > 0")
     weights = edges.join(total, ["side", "src"]).select("side", F.col("src").alias("host"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", (F.col("n") / F.col("total")).alias("w"))
     weights = cut(weights, "host-edges")
     split = cut(total.filter("parts > 1").select("side", F.col("src").alias("host"), "parts"), "host-parts")
@@ -79,16 +103,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     if not weights.head(1):
         return start, 0
     large = bool(split.head(1))
+
+    def hop(rank: DataFrame, how: str) -> DataFrame:
+        """What ranks hand on: those of hosts (inner), or those of hubs, where hosts keep what they have (left)."""
+        of = F.col("host").startswith(HUB) if how == "left" else ~F.col("host").startswith(HUB)
+        at = rank.withColumn("part", F.lit(0))
+        if large:
+            at = rank.join(split.filter(of), ["side", "host"], "left").select("side", "host", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        return at.join(weights.filter(of) if hubs else weights, ["side", "host", "part"], how).select("side", F.coalesce("dst", "host").alias("host"), (F.col("rank") * F.coalesce("w", F.lit(1.0))).alias("rank"))
+
     mass = lambda df: df.agg(F.sum("rank")).first()[0] or 0.0
     rank, rounds, before = start, 0, mass(start)
     while True:
         last = rank
         for _ in range(step):
-            if large:
-                at = rank.join(split, ["side", "host"], "left").select("side", "host", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-            else:
-                at = rank.withColumn("part", F.lit(0))
-            moved = at.join(weights, ["side", "host", "part"]).select("side", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("w")).alias("rank"))
+            moved = hop(rank, "inner")
+            if hubs:
+                moved = hop(moved.groupBy("side", "host").agg(F.sum("rank").alias("rank")), "left").filter(~F.col("host").startswith(HUB))
+            moved = moved.withColumn("rank", damping * F.col("rank"))
             rank = start.unionByName(moved).groupBy("side", "host").agg(F.sum("rank").alias("rank"))
         rank, rounds = cut(rank, "host-ranks"), rounds + step
         if rounds > step:
@@ -100,12 +132,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
 
 def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", trusted: DataFrame | None = None, blocked: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """((host, trust, distrust) of each host of pages or links, rounds). trusted and blocked (host) are by rule if not given; links (src, dst, n) are edges besides those in the pages."""
+    """((host, trust, distrust) of each host of pages or links, rounds). trusted and blocked (host) are by rule if not given; links (src, dst, n) are edges besides those in the pages, and may go through hubs."""
     edges = host_edges(pages, url, html)
     if links is not None:
         edges = edges.unionByName(links.select("src", "dst", "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     edges = cut(edges, "links")
-    hosts = pages.select(host_of(F.col(url)).alias("host")).filter("host is not null").unionByName(edges.select(F.inline(F.array(F.struct(F.col("src").alias("host")), F.struct(F.col("dst").alias("host")))))).distinct()
+    hosts = pages.select(host_of(F.col(url)).alias("host")).filter("host is not null").unionByName(edges.select(F.inline(F.array(F.struct(F.col("src").alias("host")), F.struct(F.col("dst").alias("host")))))).filter(~F.col("host").startswith(HUB)).distinct()
     hosts = cut(hosts, "hosts")
     bad = hosts.filter(F.col("host").rlike(_BLOCKED_RE)) if blocked is None else blocked.select(F.lower("host").alias("host"))
     good = hosts.filter(F.col("host").rlike(_TRUSTED_RE)) if trusted is None else trusted.select(F.lower("host").alias("host"))
@@ -144,7 +176,7 @@ l AS (SELECT host AS src, unnest(regexp_extract_all(html, {_SQ(LINK)}, 1)) AS li
 e AS (SELECT src, {_HOST_SQL("regexp_replace(link, '^//', 'http://')")} AS dst FROM l),
 nav AS (SELECT host AS src, array_to_string(x, ' ') AS phrase, len(x) AS k FROM (SELECT host, regexp_extract_all(html, {_SQ(LABEL)}, 1) AS x FROM pg WHERE host IS NOT NULL) WHERE len(x) > 0),
 tt AS (SELECT host AS dst, string_split(regexp_extract(html, {_SQ(TITLE)}, 1), ' ') AS x FROM pg WHERE host IS NOT NULL),
-own AS (SELECT k, phrase, dst FROM (SELECT *, row_number() OVER (PARTITION BY k, phrase ORDER BY m DESC, dst) AS rn FROM (SELECT dst, k, array_to_string(x[1:k], ' ') AS phrase, count(*) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM tt) GROUP BY ALL)) WHERE rn <= {TARGETS}),
+own AS (SELECT DISTINCT k, array_to_string(x[1:k], ' ') AS phrase, dst FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM tt)),
 g AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM e UNION ALL SELECT src, dst FROM nav JOIN own USING (k, phrase)) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL),
 w AS MATERIALIZED (SELECT 'trust' AS side, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM g UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM g),
 hosts AS MATERIALIZED (SELECT DISTINCT host FROM (SELECT host FROM pg UNION ALL SELECT src FROM g UNION ALL SELECT dst FROM g) WHERE host IS NOT NULL),

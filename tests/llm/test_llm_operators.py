@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -395,7 +396,37 @@ def test_title_links(spark):
             (5, "http://aa.example/", "<title>Big news of aa</title>"), (6, "http://c.example/", nav("Own")), (7, None, nav("Big")), (8, "http://d.example/", None)]
     rows += [(9 + k, f"http://z{k}.example/", "<title>Big news</title>") for k in range(4)]
     got = {(r.src, r.dst, r.n) for r in url_filters.title_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {("a.example", "b.example", 2), ("a.example", "aa.example", 2), ("a.example", "z0.example", 2), ("c.example", "a.example", 1)}
+    assert got == {("a.example", x, 2) for x in ("b.example", "aa.example", *(f"z{k}.example" for k in range(4)))} | {("c.example", "a.example", 1)}
+
+
+@pytest.mark.parametrize("spread,split", [(10**9, 100_000), (2, 100_000), (-1, 100_000), (-1, 2)])
+def test_title_links_reach_every_host(spark, monkeypatch, spread, split):
+    """All hosts of a title, pairs written out, some of them or none; hosts that link to themselves, and h15 to no other; edges of the pages besides."""
+    monkeypatch.setattr(url_filters, "SPREAD", spread)
+    monkeypatch.setattr(url_filters, "SPLIT", split)
+    rng = random.Random(7)
+    words, told, titles, rows = ["Big", "news", "of"], [], [], []
+    for k in range(70):
+        told.append((f"h{rng.randrange(15)}", rng.choices(words, k=rng.randint(1, 2)) if k % 2 else []))
+        titles.append((told[-1][0], rng.choices(words, k=3)))
+    told, titles = [*told, ("h15", ["Own"])], [*titles, ("h15", ["Own", "page"])]
+    for k, ((host, x), (_, t)) in enumerate(zip(told, titles, strict=True)):
+        rows.append((k, f"http://{host}/{k}", f"<title>{' '.join(t)}</title>" + "".join(f'<li><a href="/x">{y}</a></li>' for y in x) + ('<a href="http://h3/">x</a>' if k % 20 == 0 else "")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = Counter()
+    for k, (src, x) in enumerate(told):
+        edges.update((src, dst) for dst in {h for h, t in titles if x and t[: len(x)] == x} - {src})
+        edges.update([(src, "h3")] if k % 20 == 0 and src != "h3" else [])
+    edges = [(a, b, n) for (a, b), n in edges.items()]
+    links = url_filters.title_links(pages).collect()
+    assert (sum(r.src.startswith("#") for r in links) > 0) == (spread < 10**9) and (sum(r.src[0] == r.dst[0] == "h" for r in links) > 0) == (spread > 0)
+    seeds = lambda *x: spark.createDataFrame([(h,) for h in x], "host string")
+    scores, rounds = url_filters.score_hosts(pages, trusted=seeds("h1", "h2"), blocked=seeds("h5"), links=spark.createDataFrame(links))
+    got = {r.host: (r.trust, r.distrust) for r in scores.collect()}
+    trust, distrust = rank_by_hand(edges, ["h1", "h2"]), rank_by_hand([(b, a, n) for a, b, n in edges], ["h5"])
+    assert rounds and set(got) == {h for h, _ in titles} and got["h15"] == (0, 0)
+    for h, (t, d) in got.items():
+        assert abs(trust.get(h, 0) - t) <= url_filters.TOLERANCE and abs(distrust.get(h, 0) - d) <= url_filters.TOLERANCE
 
 
 def test_mix_meets_the_schedule(spark):
