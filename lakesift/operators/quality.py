@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakesift.functions import dsp
 from lakesift.schemas import QUALITY
-from lakesift.sources.audio import lists
+from lakesift.sources import audio
 
 
 @dataclass(frozen=True)
@@ -56,26 +56,40 @@ def inspect_clip(x: np.ndarray, sr: int, t: Thresholds = Thresholds()) -> dict:
     return {"duration_sec": duration, "snr_db": snr, "silence_ratio": silence, "rms_db": rms, "is_clipped": clipped, "passes": not reasons, "fail_reasons": reasons}
 
 
-def measure(clips: DataFrame, t: Thresholds = Thresholds(), embed: bool = True, id_col: str = "id") -> DataFrame:
-    """One Arrow pass over clips (id, samples, sr): the feature table, without the samples, with load_error if clips have it. Everything after it is relational."""
-    kinds = {"duration_sec": pa.float64(), "snr_db": pa.float64(), "silence_ratio": pa.float64(), "rms_db": pa.float64(), "is_clipped": pa.bool_(), "passes": pa.bool_(), "fail_reasons": pa.list_(pa.string())}
-    more = [c for c in ("load_error",) if c in clips.columns]
-    names = [id_col, *kinds, "md5", "embedding", *more]
+_KINDS = {"duration_sec": pa.float64(), "snr_db": pa.float64(), "silence_ratio": pa.float64(), "rms_db": pa.float64(), "is_clipped": pa.bool_(), "passes": pa.bool_(), "fail_reasons": pa.list_(pa.string())}
+TABLE = f"{QUALITY}, md5 string, embedding array<float>"
+
+
+def measuring(t: Thresholds = Thresholds(), embed: bool = True, id_col: str = "id", more: tuple[str, ...] = ()) -> audio.Step:
+    """The step of measure, over batches (id, samples, sr); columns named in more are passed on."""
+    names = [id_col, *_KINDS, "md5", "embedding", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in audio.few(batches):
             column, rates = batch.column("samples"), batch.column("sr").to_pylist()
-            off, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-            clip = [flat[a:b] for a, b in zip(off[:-1], off[1:])]
+            off, flat = column.offsets.to_numpy(), column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+            clip = [flat[a - off[0] : b - off[0]] for a, b in zip(off[:-1], off[1:])]
             rates = [int(r or 16000) for r in rates]
             found = [inspect_clip(x, sr, t) for x, sr in zip(clip, rates)]
-            vectors = lists([dsp.mfcc_embedding(x, sr) for x, sr in zip(clip, rates)]) if embed else pa.nulls(len(clip), pa.list_(pa.float32()))
-            values = [pa.array([f[k] for f in found], kind) for k, kind in kinds.items()]
+            vectors = audio.lists([dsp.mfcc_embedding(x, sr) for x, sr in zip(clip, rates)]) if embed else pa.nulls(len(clip), pa.list_(pa.float32()))
+            values = [pa.array([f[k] for f in found], kind) for k, kind in _KINDS.items()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *values, pa.array([dsp.pcm_md5(x) for x in clip]), vectors, *(batch.column(c) for c in more)], names)
 
+    return run
+
+
+def measure(clips: DataFrame, t: Thresholds = Thresholds(), embed: bool = True, id_col: str = "id") -> DataFrame:
+    """One Arrow pass over clips (id, samples, sr): the feature table, without the samples, with load_error if clips have it. Everything after it is relational."""
+    more = tuple(c for c in ("load_error",) if c in clips.columns)
     samples = F.coalesce("samples", F.array().cast("array<float>")).alias("samples")
     errors = "".join(f", {c} string" for c in more)
-    return clips.select(id_col, samples, "sr", *more).mapInArrow(run, f"{id_col} {clips.schema[id_col].dataType.simpleString()}, {QUALITY}, md5 string, embedding array<float>{errors}")
+    return clips.select(id_col, samples, "sr", *more).mapInArrow(measuring(t, embed, id_col, more), f"{id_col} {clips.schema[id_col].dataType.simpleString()}, {TABLE}{errors}")
+
+
+def measure_files(files: DataFrame, target_sr: int = audio.TARGET_SR, t: Thresholds = Thresholds(), embed: bool = True, id_col: str = "id", decoder=audio.decode_wav) -> DataFrame:
+    """measure(decode(files)) of (id, content) in one Python worker: samples don't pass through the JVM."""
+    step = audio.chain(audio.decoding(target_sr, decoder, id_col), measuring(t, embed, id_col, ("load_error",)))
+    return files.select(id_col, "content").mapInArrow(step, f"{id_col} {files.schema[id_col].dataType.simpleString()}, {TABLE}, load_error string")
 
 
 def attach(manifest: DataFrame, features: DataFrame, id_col: str = "id") -> DataFrame:

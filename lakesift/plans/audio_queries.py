@@ -20,34 +20,47 @@ SR, LENGTH, HOLD, BROKEN, COPIES = 8000, 4800, 75, 50, 20
 FRAME = 200
 GATE = quality.Thresholds()
 BITS, NEAR = 4, 0.30
+_SAMPLES = "samples array<float>, sr int, load_error string"
 
 
-def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, content, embedding): WAV in 16 bits, 16 bits stereo, 24 and 32 bits by turns."""
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding): what each clip sounds like."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     own = e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % COPIES == 3, F.col("vec_id") - 1).otherwise(F.col("vec_id")).alias("base"))
-    both = own.join(e.select(F.col("vec_id").alias("base"), "embedding"), "base").select("id", "embedding")
+    return own.join(e.select(F.col("vec_id").alias("base"), "embedding"), "base").select("id", "embedding")
+
+
+def _make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, content, embedding) of (id, embedding), a few clips at a time."""
+    i = np.arange(LENGTH)
+    for batch in audio.few(batches):
+        content = []
+        for k, vector in zip(batch.column("id").to_pylist(), batch.column("embedding")):
+            e = vector.values.to_numpy().astype(np.float64)
+            x = 40.0 * e[i % 64] * np.abs(e[i // HOLD % 64]) * np.abs(e[i // HOLD % 64])
+            pcm = np.trunc(np.clip(x, -1, 1) * 32767).astype(np.int64)
+            content.append(b"RIFF, but no more" if k % BROKEN == 7 else audio.encode_wav(pcm, SR, (2, 2, 3, 4)[k % 4], (1, 2, 1, 1)[k % 4]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(content, pa.binary()), batch.column("embedding")], ["id", "content", "embedding"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i = np.arange(LENGTH)
-        for batch in batches:
-            content = []
-            for k, vector in zip(batch.column("id").to_pylist(), batch.column("embedding")):
-                e = vector.values.to_numpy().astype(np.float64)
-                x = 40.0 * e[i % 64] * np.abs(e[i // HOLD % 64]) * np.abs(e[i // HOLD % 64])
-                pcm = np.trunc(np.clip(x, -1, 1) * 32767).astype(np.int64)
-                content.append(b"RIFF, but no more" if k % BROKEN == 7 else audio.encode_wav(pcm, SR, (2, 2, 3, 4)[k % 4], (1, 2, 1, 1)[k % 4]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(content, pa.binary()), batch.column("embedding")], ["id", "content", "embedding"])
 
-    return both.mapInArrow(run, "id long, content binary, embedding array<float>")
+def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content, embedding): WAV in 16 bits, 16 bits stereo, 24 and 32 bits by turns."""
+    return _vectors(spark, sf_dir).mapInArrow(_make, "id long, content binary, embedding array<float>")
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.decode(wav_files(spark, sf_dir), SR)
+    """The files of wav_files, decoded where they are made."""
+    return _vectors(spark, sf_dir).mapInArrow(audio.chain(_make, audio.decoding(SR)), f"id long, {_SAMPLES}")
+
+
+def _measured(vectors: DataFrame, embed: bool = False) -> DataFrame:
+    """The feature table of the files of these (id, embedding), made, decoded and measured in one Python worker."""
+    step = audio.chain(_make, audio.decoding(SR), quality.measuring(GATE, embed, "id", ("load_error",)))
+    return vectors.mapInArrow(step, f"id long, {quality.TABLE}, load_error string")
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(clips(spark, sf_dir), GATE)
+def features(spark: SparkSession, sf_dir: str, embed: bool = False) -> DataFrame:
+    return _measured(_vectors(spark, sf_dir), embed)
 
 
 def _told(found: DataFrame) -> DataFrame:
@@ -102,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f8_inspect": lambda s, d: _rounded(features(s, d).drop("md5", "embedding", "load_error")),
     "f9_batch_summary": lambda s, d: _rounded(quality.summary(features(s, d))),
     "f10_pcm_md5": lambda s, d: features(s, d).select("id", "md5"),
-    "f11_mfcc": lambda s, d: features(s, d).select("id", F.transform("embedding", lambda x: F.bround(x.cast("double"), 4)).alias("embedding")),
+    "f11_mfcc": lambda s, d: features(s, d, True).select("id", F.transform("embedding", lambda x: F.bround(x.cast("double"), 4)).alias("embedding")),
     "p1_attach": lambda s, d: _rounded(quality.attach(_manifest(s, d).select("id", "speaker_id"), features(s, d))),
     "p2_passing": lambda s, d: features(s, d).filter("passes").select("id"),
     "d1_sounds": lambda s, d: dedup.exact(features(s, d).withColumn("pos", F.col("id"))),

@@ -9,7 +9,6 @@ import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,26 @@ from lakesift.functions.dsp import resample
 TARGET_SR = 16000
 #: Clips of an Arrow batch at most; bytes of ids and paths to broadcast at most.
 CLIPS, MAX_BROADCAST = 16, 64 << 20
+#: From Arrow batches to Arrow batches.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of CLIPS rows, so that a step holds the sound of so many clips and not of the 10,000 rows that Spark puts into a batch."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, CLIPS):
+            yield whole.slice(k, CLIPS)
+
+
+def chain(*steps: Step) -> Step:
+    """Steps as one, in one Python worker: sound passes from each to the next a few clips at a time, and not through the JVM, which would gather it into large batches again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
 
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
@@ -62,8 +81,8 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType = pa.float32()) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
-def decode(files: DataFrame, target_sr: int = TARGET_SR, decoder: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav, id_col: str = "id") -> DataFrame:
-    """(id, samples, sr, load_error) of (id, content). A file that can't be read is a second of zeros, with the error: it fails quality but is counted."""
+def decoding(target_sr: int = TARGET_SR, decoder: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav, id_col: str = "id", more: tuple[str, ...] = ()) -> Step:
+    """The step of decode; columns named in more are passed on."""
 
     def one(content) -> tuple[np.ndarray, str | None]:
         try:
@@ -73,15 +92,19 @@ def decode(files: DataFrame, target_sr: int = TARGET_SR, decoder: Callable[[byte
             return np.zeros(target_sr, np.float32), f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, CLIPS):
-                batch = whole.slice(k, CLIPS)
-                found = [one(x) for x in batch.column("content")]
-                sr = pa.array(np.full(len(found), target_sr, np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), lists([x for x, _ in found]), sr, pa.array([e for _, e in found], pa.string())], [id_col, "samples", "sr", "load_error"])
+        for batch in few(batches):
+            found = [one(x) for x in batch.column("content")]
+            sr = pa.array(np.full(len(found), target_sr, np.int32))
+            own = [batch.column(id_col), lists([x for x, _ in found]), sr, pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*own, *(batch.column(c) for c in more)], [id_col, "samples", "sr", "load_error", *more])
 
+    return run
+
+
+def decode(files: DataFrame, target_sr: int = TARGET_SR, decoder: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav, id_col: str = "id") -> DataFrame:
+    """(id, samples, sr, load_error) of (id, content). A file that can't be read is a second of zeros, with the error: it fails quality but is counted."""
     kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, "content").mapInArrow(run, f"{id_col} {kind}, samples array<float>, sr int, load_error string")
+    return files.select(id_col, "content").mapInArrow(decoding(target_sr, decoder, id_col), f"{id_col} {kind}, samples array<float>, sr int, load_error string")
 
 
 def _plain(path: Column) -> Column:
@@ -89,8 +112,8 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^file:/*", "/"), "/+(\\./+)*", "/")
 
 
-def load_clips(manifest: DataFrame, folder: str, target_sr: int = TARGET_SR, path: str = "path", id_col: str = "id", decoder=decode_wav, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The manifest's clips. A path is absolute or under folder, and names one file: equal names in different folders are different clips. A path without a file is a load error too.
+def load_files(manifest: DataFrame, folder: str, path: str = "path", id_col: str = "id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(id, content) of the manifest's files, null where there is none. A path is absolute or under folder, and names one file: equal names in different folders are different clips. A path without a file is a load error too.
 
     ids and paths are broadcast to the files up to a size, so that sound isn't shuffled; beyond it they are joined.
     """
@@ -102,17 +125,27 @@ def load_clips(manifest: DataFrame, folder: str, target_sr: int = TARGET_SR, pat
     there = files.select(_plain(F.col("path")).alias("_f"))
     found = files.select(_plain(F.col("path")).alias("_f"), "content").join(F.broadcast(wanted) if small else wanted, "_f").select(id_col, "content")
     lost = wanted.join(there, "_f", "left_anti").select(id_col, F.lit(None).cast("binary").alias("content"))
-    return decode(found.unionByName(lost), target_sr, decoder, id_col)
+    return found.unionByName(lost)
 
 
-def write_clips(clips: DataFrame, folder: str, id_col: str = "id") -> DataFrame:
-    """Writes clips as WAV from the tasks that hold them; (id, path) of what was written."""
+def load_clips(manifest: DataFrame, folder: str, target_sr: int = TARGET_SR, path: str = "path", id_col: str = "id", decoder=decode_wav, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The manifest's clips, decoded; see load_files."""
+    return decode(load_files(manifest, folder, path, id_col, max_broadcast), target_sr, decoder, id_col)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            paths = [os.path.join(folder, f"{i}.wav") for i in batch[id_col]]
-            for p, x, sr in zip(paths, batch["samples"], batch["sr"]):
-                write_wav(re.sub("^file:/*", "/", p), np.asarray(x), int(sr))
-            yield pd.DataFrame({id_col: batch[id_col], "path": paths})
+def writing(folder: str, id_col: str = "id") -> Step:
+    """The step of write_clips."""
 
-    return clips.select(id_col, "samples", "sr").mapInPandas(run, f"{id_col} {clips.schema[id_col].dataType.simpleString()}, path string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            paths = [os.path.join(folder, f"{i}.wav") for i in batch.column(id_col).to_pylist()]
+            for p, x, sr in zip(paths, batch.column("samples"), batch.column("sr").to_pylist()):
+                write_wav(re.sub("^file:/*", "/", p), x.values.to_numpy(zero_copy_only=False), int(sr))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(paths, pa.string())], [id_col, "path"])
+
+    return run
+
+
+def write_clips(clips: DataFrame, folder: str, id_col: str = "id") -> DataFrame:
+    """Writes clips as WAV from the tasks that hold them; (id, path) of what was written."""
+    return clips.select(id_col, "samples", "sr").mapInArrow(writing(folder, id_col), f"{id_col} {clips.schema[id_col].dataType.simpleString()}, path string")
