@@ -73,11 +73,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.bround(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clips that could be decoded."""
+    return (batch.filter(batch.column("load_error").is_null()) for batch in batches)
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips that are written as files and found again by their manifest's paths; every tenth path names no file."""
     folder = f"{shared_folder(spark)}/clips-{uuid.uuid4().hex}"
-    there = clips(spark, sf_dir).filter("load_error is null")
-    manifest = audio.write_clips(there, folder).withColumn("path", F.when(F.col("id") % 10 == 5, F.concat("path", F.lit(".lost"))).otherwise(F.col("path")))
+    there = _vectors(spark, sf_dir).mapInArrow(audio.chain(_make, audio.decoding(SR), _sound, audio.writing(folder)), "id long, path string")
+    manifest = there.withColumn("path", F.when(F.col("id") % 10 == 5, F.concat("path", F.lit(".lost"))).otherwise(F.col("path")))
     return audio.load_clips(written(manifest), folder, SR)
 
 

@@ -34,3 +34,13 @@ def test_slices_are_measured_as_their_own():
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), audio.lists(sounds), pa.array([8000] * 40, pa.int32())], ["id", "samples", "sr"])
     got = pa.Table.from_batches(quality.measuring()(iter([batch]))).to_pylist()
     assert [(r["id"], r["duration_sec"], r["md5"]) for r in got] == [(k, len(x) / 8000, quality.dsp.pcm_md5(x)) for k, x in enumerate(sounds)]
+
+
+def test_clips_are_written_a_few_at_a_time(tmp_path):
+    sounds = [np.full(100 + k, 0.01, np.float32) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), audio.lists(sounds), pa.array([8000] * 50, pa.int32())], ["id", "samples", "sr"])
+    found = audio.writing(str(tmp_path))(iter([batch]))
+    first = next(found)
+    assert first.num_rows == audio.CLIPS == len(list(tmp_path.iterdir()))
+    paths = pa.Table.from_batches([first, *found])["path"].to_pylist()
+    assert [len(audio.decode_wav(open(p, "rb").read())[0]) for p in paths] == [len(x) for x in sounds]
