@@ -15,6 +15,8 @@ from lakesift.session import written
 THRESHOLD, N_BITS = 0.97, 18
 #: Rows of a bucket that one task holds at most; larger buckets are worked off in blocks of so many.
 BLOCK = 4096
+#: Rows that are held against leaders at once.
+ROWS = 256
 
 
 def exact(df: DataFrame, key: str = "md5", id_col: str = "id", pos: str = "pos") -> DataFrame:
@@ -42,20 +44,20 @@ def near(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim:
 
 def _leaders(ids: list, v: np.ndarray, threshold: float) -> tuple[list[int], list[tuple]]:
     """(places of the rows that stay, (id, canonical id) of the others), in order."""
-    kept, n, gone = np.zeros(len(ids), np.int64), 0, []
+    kept, near, n, gone = np.zeros(len(ids), np.int64), np.empty_like(v), 0, []
     for k in range(len(ids)):
-        hit = np.flatnonzero(v[kept[:n]] @ v[k] >= threshold) if n else ()
+        hit = np.flatnonzero(near[:n] @ v[k] >= threshold) if n else ()
         if len(hit):
             gone.append((ids[k], ids[kept[hit[0]]]))
         else:
-            kept[n], n = k, n + 1
+            kept[n], near[n], n = k, v[k], n + 1
     return kept[:n].tolist(), gone
 
 
 def near_blocks(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim: int = 40, vector: str = "embedding", id_col: str = "id", pos: str = "pos") -> DataFrame:
     """The same by matrix products in Arrow groups, one for each bucket of up to BLOCK rows; larger buckets go by blocks, see _large_buckets."""
     kind = df.schema[id_col].dataType.simpleString()
-    hashed = df.select(F.col(id_col).alias("i"), F.col(pos).alias("p"), F.col(vector).alias("v"), sign_bucket(F.col(vector), n_bits, dim).alias("bucket"))
+    hashed = written(df.select(F.col(id_col).alias("i"), F.col(pos).alias("p"), F.col(vector).alias("v"), sign_bucket(F.col(vector), n_bits, dim).alias("bucket")))  # read several times
     sizes = hashed.groupBy("bucket").count().filter("count > 1")
     large = sizes.filter(F.col("count") > BLOCK).select("bucket")
 
@@ -87,9 +89,13 @@ def _large_buckets(rows: DataFrame, threshold: float, id_col: str, kind: str) ->
         if not len(members) or not len(leaders):
             return pd.DataFrame([], columns=["i", "c"])
         leaders = leaders.sort_values("n", kind="stable")
-        near = np.stack(members.v.to_numpy()).astype(np.float64) @ np.stack(leaders.v.to_numpy()).astype(np.float64).T >= threshold
-        hit = near.any(1)
-        return pd.DataFrame({"i": members.i[hit], "c": leaders.i.to_numpy()[near[hit].argmax(1)]})
+        heads, found = np.stack(leaders.v.to_numpy()).astype(np.float64).T, []
+        for k in range(0, len(members), ROWS):
+            part = members.iloc[k : k + ROWS]
+            near = np.stack(part.v.to_numpy()).astype(np.float64) @ heads >= threshold
+            hit = near.any(1)
+            found.append(pd.DataFrame({"i": part.i[hit], "c": leaders.i.to_numpy()[near[hit].argmax(1)]}))
+        return pd.concat(found)
 
     for block in range(int(last) + 1):
         mine = rest.filter(F.col("block") == block)
@@ -112,6 +118,7 @@ def _large_buckets(rows: DataFrame, threshold: float, id_col: str, kind: str) ->
 
 def assign(df: DataFrame, threshold: float = THRESHOLD, n_bits: int = N_BITS, dim: int = 40, key: str = "md5", vector: str = "embedding", id_col: str = "id", pos: str = "pos", blocks: bool = True) -> DataFrame:
     """(id, canonical_id, kind) of all rows that go: exact ones, then near ones among the others. ids are unique."""
+    df = written(df.select(*dict.fromkeys((id_col, pos, key, vector))))  # read several times
     first = exact(df, key, id_col, pos)
     rest = df.join(first.select(id_col), id_col, "left_anti")
     second = (near_blocks if blocks else near)(rest, threshold, n_bits, dim, vector, id_col, pos)

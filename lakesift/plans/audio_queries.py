@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesift.functions import dsp
 from lakesift.operators import dedup, quality
 from lakesift.plans import curation
 from lakesift.session import shared_folder, written
@@ -94,18 +95,35 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dedup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, pos, md5, embedding): the sounds' MD5 and the vectors they were made from."""
-    return features(spark, sf_dir).select("id", F.col("id").alias("pos"), "md5").join(wav_files(spark, sf_dir).select("id", "embedding"), "id")
+    """(id, pos, md5, embedding): the sounds' MD5 and the vectors they were made from, made once."""
+    step = audio.chain(_make, audio.decoding(SR, more=("embedding",)), _told_apart)
+    return written(_vectors(spark, sf_dir).mapInArrow(step, "id long, md5 string, embedding array<float>").select("id", F.col("id").alias("pos"), "md5", "embedding"))
 
 
-def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.assign(_dedup_table(spark, sf_dir), NEAR, BITS, 64)
+def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        md5 = [dsp.pcm_md5(x.values.to_numpy()) for x in batch.column("samples")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(md5, pa.string()), batch.column("embedding")], ["id", "md5", "embedding"])
+
+
+def _assigned(table: DataFrame) -> DataFrame:
+    return dedup.assign(table, NEAR, BITS, 64)
+
+
+def _with_assigned(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the table and what goes of it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = _dedup_table(spark, sf_dir)
+        return f(table, _assigned(table))
+
+    return run
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(part, metric, value) of a whole curation run with its default thresholds."""
     manifest = _manifest(spark, sf_dir)
-    _, found = curation.curate(manifest, audio.decode(wav_files(spark, sf_dir).join(manifest.select("id"), "id", "left_semi"), SR))
+    _, found = curation.curate(manifest, _measured(_vectors(spark, sf_dir).join(manifest.select("id"), "id", "left_semi"), True))
     rows = [("all", k, float(found[k])) for k in ("n_input", "load_errors", "n_output", "overall_retention_rate")]
     for part in ("quality", "deduplication"):
         rows += [(part, k, float(v)) for k, v in found[part].items() if isinstance(v, (int, float))]
@@ -124,9 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_attach": lambda s, d: _rounded(quality.attach(_manifest(s, d).select("id", "speaker_id"), features(s, d))),
     "p2_passing": lambda s, d: features(s, d).filter("passes").select("id"),
     "d1_sounds": lambda s, d: dedup.exact(features(s, d).withColumn("pos", F.col("id"))),
-    "d4_assign": _assigned,
-    "d4_keep_both": lambda s, d: dedup.keep(_dedup_table(s, d), _assigned(s, d)).select("id"),
-    "a18_dedup_report_both": lambda s, d: _rounded(dedup.report(_dedup_table(s, d), _assigned(s, d))),
+    "d4_assign": _with_assigned(lambda table, gone: gone),
+    "d4_keep_both": _with_assigned(lambda table, gone: dedup.keep(table, gone).select("id")),
+    "a18_dedup_report_both": _with_assigned(lambda table, gone: _rounded(dedup.report(table, gone))),
     "a19_curation_report": _report,
 }
 

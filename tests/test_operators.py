@@ -196,3 +196,19 @@ def test_tables(spark, tmp_path):
         tables.read_manifest(spark, str(tmp_path / "bad"))
     tables.write_json({"a": float("nan"), "b": {1: 2}}, str(tmp_path / "r.json"))
     assert tables.read_json(str(tmp_path / "r.json")) == {"a": None, "b": {"1": 2}}
+
+
+def test_duplicates_compute_their_rows_once(spark):
+    """What is expensive to make (sounds' MD5) isn't made again for each step of the assignment."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(3)
+    rows = [(k, k, str(k % 50), rng.normal(size=8).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, pos long, md5 string, embedding array<double>").mapInArrow(count, "id long, pos long, md5 string, embedding array<double>")
+    found = dedup.assign(df, 0.5, 1, 8).collect()
+    assert {r.kind for r in found} == {"exact", "near"} and seen.value == 60
