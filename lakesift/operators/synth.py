@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lakesift.operators.gaps import VOICES
 from lakesift.operators.mix import numbered
 from lakesift.operators.quality import Thresholds, inspect_clip
+from lakesift.session import written
 from lakesift.sources.audio import write_wav
 
 SR = 16000
@@ -43,8 +44,11 @@ def utterances(plan: DataFrame) -> DataFrame:
     return plan.select("plan_pos", "voice_id", F.posexplode(F.slice("texts", F.lit(1), F.col("n_samples").cast("int"))).alias("text_pos", "sentence"))
 
 
-def generate(plan: DataFrame, folder: str | None = None, backend: Callable[[str, str], np.ndarray] = tone_backend, catalog: dict | None = None, gate: Thresholds | None = GATE) -> DataFrame:
-    """The manifest of what could be made: failures and clips that don't pass the gate are left out; ids count successes, in the plan's order. With a folder, clips are written to it as WAV."""
+def generate(plan: DataFrame, folder: str | None = None, backend: Callable[[str, str], np.ndarray] = tone_backend, catalog: dict | None = None, gate: Thresholds | None = GATE, repeatable: bool | None = None) -> DataFrame:
+    """The manifest of what could be made: failures and clips that don't pass the gate are left out; ids count successes, in the plan's order. With a folder, clips are written to it as WAV.
+
+    repeatable: a voice makes the same sound of the same text each time, as tone_backend does. Then each pair of the two is spoken once, unless each utterance is a file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,7 +65,14 @@ def generate(plan: DataFrame, folder: str | None = None, backend: Callable[[str,
                 seconds.append(len(x) / SR)
             yield batch.assign(duration_sec=seconds)[keep]
 
-    made = utterances(plan).repartition("plan_pos", "text_pos").mapInPandas(run, "plan_pos long, voice_id string, text_pos int, sentence string, duration_sec double")
+    wanted = utterances(plan)
+    if (backend is tone_backend if repeatable is None else repeatable) and not folder:
+        pairs = wanted.select("voice_id", "sentence").distinct().repartition(plan.sparkSession.sparkContext.defaultParallelism)  # few rows, but much work each
+        spoken = pairs.mapInPandas(run, "voice_id string, sentence string, duration_sec double")
+        made = wanted.join(spoken, ["voice_id", "sentence"]).select("plan_pos", "voice_id", "text_pos", "sentence", "duration_sec")
+    else:
+        made = wanted.repartition("plan_pos", "text_pos").mapInPandas(run, "plan_pos long, voice_id string, text_pos int, sentence string, duration_sec double")
+    made = written(made)  # numbering reads it twice
     known = voices(plan.sparkSession, catalog).groupBy("voice_id").agg(F.min("gender").alias("gender"), F.min("accent").alias("accent"))
     made = numbered(made, "_n", "plan_pos", "text_pos").join(F.broadcast(known), "voice_id", "left")
     unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)

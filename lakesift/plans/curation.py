@@ -13,9 +13,9 @@ from lakesift.sources import audio, tables
 
 
 def curate(manifest: DataFrame, clips: DataFrame, thresholds: quality.Thresholds = quality.Thresholds(), dedup_threshold: float = dedup.THRESHOLD, n_bits: int = dedup.N_BITS, out: str | None = None) -> tuple[DataFrame, dict]:
-    """(survivors with qf_ columns, report). clips are (id, samples, sr, load_error). The feature table, without samples, is made once and feeds everything after it."""
+    """(survivors with qf_ columns, report). clips are (id, samples, sr, load_error), or already their feature table, measured with these thresholds. The feature table, without samples, is made once and feeds everything after it."""
     began = time.time()
-    features = quality.measure(clips, thresholds).persist()
+    features = (quality.measure(clips, thresholds) if "samples" in clips.columns else clips).persist()
     ordered = manifest if "pos" in manifest.columns else written(manifest.withColumn("pos", F.monotonically_increasing_id()))
     annotated = quality.attach(ordered, features).persist()
     passed = features.filter("passes").join(ordered.select("id", "pos"), "id")
@@ -42,8 +42,8 @@ def curate(manifest: DataFrame, clips: DataFrame, thresholds: quality.Thresholds
     return kept, report
 
 
-def curate_files(manifest: DataFrame, folder: str, **options) -> tuple[DataFrame, dict]:
-    return curate(manifest, audio.load_clips(manifest, folder), **options)
+def curate_files(manifest: DataFrame, folder: str, thresholds: quality.Thresholds = quality.Thresholds(), **options) -> tuple[DataFrame, dict]:
+    return curate(manifest, quality.measure_files(audio.load_files(manifest, folder), t=thresholds), thresholds, **options)
 
 
 def export_view(kept: DataFrame) -> DataFrame:
