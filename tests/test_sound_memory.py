@@ -44,3 +44,13 @@ def test_clips_are_written_a_few_at_a_time(tmp_path):
     assert first.num_rows == audio.CLIPS == len(list(tmp_path.iterdir()))
     paths = pa.Table.from_batches([first, *found])["path"].to_pylist()
     assert [len(audio.decode_wav(open(p, "rb").read())[0]) for p in paths] == [len(x) for x in sounds]
+
+
+def test_files_are_measured_in_one_worker(spark):
+    """What curation of files and a19 do: the same table as by two steps, without samples in between."""
+    wav = audio.encode_wav(np.arange(9000) % 700 * 20, 8000)
+    files = spark.createDataFrame([(k, None if k == 3 else wav[: 44 + 400 * k * (k != 5)] if k else b"x") for k in range(8)], "id int, content binary")
+    got = quality.measure_files(files, 8000)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    both = [sorted(map(repr, x.collect())) for x in (got, quality.measure(audio.decode(files, 8000)))]
+    assert both[0] == both[1] and len(both[0]) == 8
